@@ -28,7 +28,7 @@ DIMENSIONS = ("words", "word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation of each statistic: smaller differences never matter.
 RIDGE = (0.5, 0.1, 0.05, 0.1, 0.1)
 P = len(DIMENSIONS)
-CORE, STEPS, CUTOFF, LEAST_ROWS = 0.75, 3, 60.0, 50
+CORE, STEPS, CUTOFF, LEAST_ROWS = 0.75, 3, 80.0, 50
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Median of the chi-square distribution with P = 5 degrees of freedom.
 CHI_MEDIAN = 4.3515
@@ -210,7 +210,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
 def judged(stats: DataFrame, model: tuple[DataFrame, int], cutoff: float = CUTOFF) -> DataFrame:
     """Adds q_d2 (scaled) and q_kept."""
     near = distance(attach(stats, *model))
-    d2 = F.col("q_d2") / F.greatest(F.col("q_scale"), F.lit(1e-3))
+    d2 = F.col("q_d2") / F.greatest(F.col("q_scale"), F.lit(1.0))
     return near.withColumn("q_d2", d2).withColumn("q_kept", ~F.col("q_base_failed") & ~F.coalesce(F.col("q_d2") > cutoff, F.lit(False)))
 
 

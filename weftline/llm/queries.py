@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, packing, quality_classifier, quality_rules, secrets, simhash, token_counts, token_files, toxicity
+from weftline.llm import byte_bpe, nearest, packing, quality_classifier, quality_rules, secrets, simhash, token_counts, token_files, toxicity
 from weftline.llm.common import table
 
 END_ID = 1
@@ -39,6 +39,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every text."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), word_vocab_path())
@@ -73,6 +78,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_packing, op3_toxicity, op5_token_counts, op6_quality_rules, op7_secrets, op8_token_files, op9_quality_classifier, op10_simhash)
+    for f in (op1_byte_bpe, op2_packing, op3_toxicity, op4_nearest, op5_token_counts, op6_quality_rules, op7_secrets, op8_token_files, op9_quality_classifier, op10_simhash)
 }
 ORACLES: dict[str, str] = {}

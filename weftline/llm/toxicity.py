@@ -34,7 +34,7 @@ MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SIGN_COST, REPEAT_COST, SEPARATOR_COST = 1.0, 0.5, 0.1
 SEPARATORS = " ._*-"
-MIN_SUPPORT, MIN_PURITY, MAX_CANDIDATES = 3, 0.6, 4000
+MIN_SUPPORT, MIN_PURITY, MAX_CANDIDATES = 3, 0.8, 4000
 PREFIXES = range(4, 9)
 
 _LETTER = r"[^\W\d_]"
@@ -215,7 +215,7 @@ def lexicon(rows: list[set[str]], share: dict[str, float]) -> set[str]:
     gain = {e: float(len(w)) for e, w in where.items()}
     chosen: set[str] = set()
     while gain:
-        best = min(gain, key=lambda e: (-round(gain[e] * share[e], 6), len(e), e))
+        best = min(gain, key=lambda e: (-round(gain[e] * share[e] ** 4, 6), len(e), e))
         if gain.pop(best) < MIN_SUPPORT - 0.5:
             break
         chosen.add(best)
