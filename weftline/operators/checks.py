@@ -1,0 +1,128 @@
+"""Data-quality checks: each gives rows (check, severity, place, message); together they decide a status."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Checks that fail a configuration; all others warn.
+HARD = ("W1", "W2", "W3", "W4", "N1", "N2", "H1", "H2", "H3", "B1", "B2", "B3")
+RANKS = {"FAIL": 3, "WARN": 2, "SKIP": 1, "OK": 0}
+
+
+def finding(df: DataFrame, check: str, place: Column, message: Column, strict: bool = False) -> DataFrame:
+    severity = "FAIL" if check in HARD or strict else "WARN"
+    return df.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), place.cast("string").alias("place"), message.alias("message"))
+
+
+def partly_weighted(leaves: DataFrame) -> DataFrame:
+    """A level of more than one entry weighs all or none."""
+    level = leaves.groupBy("level").agg(F.count("weight").alias("w"), F.count("*").alias("n"))
+    return finding(level.where("n > 1 and w > 0 and w < n"), "W1", F.col("level"), F.format_string("%d of %d weighted", "w", "n"))
+
+
+def weight_sums(leaves: DataFrame) -> DataFrame:
+    """Given weights of a level add up to 1 and are positive."""
+    level = leaves.where("weight is not null").groupBy("level").agg(F.sum("weight").alias("s"), F.count("*").alias("n"), F.count_if(F.col("weight") <= 0).alias("bad"))
+    return finding(level.where("(n > 1 and abs(s - 1) > 1e-6) or bad > 0"), "W2", F.col("level"), F.format_string("sum %.6f, %d not positive", "s", "bad"))
+
+
+def weight_drift(given: DataFrame, computed: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Weights that differ from those computed from hours."""
+    both = given.join(computed, "source").where(F.abs(F.col("weight") - F.col("expected")) > tolerance)
+    return finding(both, "W3", F.col("source"), F.format_string("%.6f, expected %.6f", "weight", "expected"))
+
+
+def mixed_groups(leaves: DataFrame) -> DataFrame:
+    """A group holds one language key."""
+    g = leaves.groupBy("level").agg(F.count_distinct("lang_key").alias("k"))
+    return finding(g.where("k > 1"), "W4", F.col("level"), F.format_string("%d language keys", "k"))
+
+
+def partly_named(sets: DataFrame) -> DataFrame:
+    """Evaluation sets are all named; partly named sets are an error of their own."""
+    n = sets.agg(F.count("name").alias("named"), F.count("*").alias("n"))
+    none = finding(n.where("n > 0 and named = 0"), "N1", F.lit("sets"), F.lit("no set is named"))
+    return none.unionByName(finding(n.where("named > 0 and named < n"), "N2", F.lit("sets"), F.format_string("%d of %d named", "named", "n")))
+
+
+def drift(declared: DataFrame, measured: DataFrame) -> DataFrame:
+    """H1, H2: declared hours and records against measured ones."""
+    both = declared.join(measured, "split")
+    hours = both.where(F.abs(F.col("hours") - F.col("measured_hours")) > F.greatest(F.lit(0.1), 0.0005 * F.col("measured_hours")))
+    cuts = both.where(F.abs(F.col("cuts") - F.col("measured_cuts")) > F.greatest(F.lit(1), F.floor(0.0001 * F.col("measured_cuts"))))
+    return finding(hours, "H1", F.col("split"), F.format_string("%.4f h, measured %.4f h", "hours", "measured_hours")).unionByName(
+        finding(cuts, "H2", F.col("split"), F.format_string("%d records, measured %d", "cuts", "measured_cuts"))
+    )
+
+
+def bin_shape(configs: DataFrame) -> DataFrame:
+    """B1, B2: buckets are set; one boundary fewer than buckets, rising, within the duration filter."""
+    missing = finding(configs.where("num_buckets is null"), "B1", F.col("split"), F.lit("no num_buckets"))
+    rising = F.forall(F.zip_with(F.slice("bins", 1, F.greatest(F.size("bins") - 1, F.lit(0))), F.slice("bins", 2, F.greatest(F.size("bins") - 1, F.lit(0))), lambda a, b: a < b), lambda x: x)
+    inside = F.forall("bins", lambda b: (F.col("low").isNull() | (b > F.col("low"))) & (F.col("high").isNull() | (b < F.col("high"))))
+    bad = configs.where(F.col("num_buckets").isNotNull() & ((F.size("bins") != F.col("num_buckets") - 1) | ~rising | ~inside))
+    return missing.unionByName(finding(bad, "B2", F.col("split"), F.format_string("%d boundaries", F.size("bins"))))
+
+
+def bin_drift(configs: DataFrame) -> DataFrame:
+    """Fails only if the worst boundary is off by over 0.05 s and 2 %."""
+    off = F.array_max(F.zip_with("bins", "expected", lambda a, b: F.abs(a - b)))
+    rel = F.array_max(F.zip_with("bins", "expected", lambda a, b: F.abs(a - b) / b))
+    return finding(configs.where((off > 0.05) & (rel > 0.02)), "B3", F.col("split"), F.format_string("off by %.4f s", off))
+
+
+def short_top(configs: DataFrame) -> DataFrame:
+    """C4: the last boundary lies below the 99th percentile."""
+    return finding(configs.where(F.element_at("bins", -1) < F.col("p99")), "C4", F.col("split"), F.format_string("p99 is %.2f s", "p99"))
+
+
+def tag_conflicts(leaves: DataFrame) -> DataFrame:
+    """A leaf's tag that a group sets differently."""
+    both = F.map_filter("tags", lambda k, v: F.map_contains_key(F.col("group_tags"), k) & (F.col("group_tags")[k] != v))
+    return finding(leaves.where(F.size(both) > 0), "T1", F.col("source"), F.concat_ws(",", F.array_sort(F.map_keys(both))))
+
+
+def missing_languages(leaves: DataFrame) -> DataFrame:
+    """Asr needs a language, st both sides."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = ((F.col("task") == "asr") & blank("lang")) | ((F.col("task") == "st") & (blank("src_lang") | blank("tgt_lang")))
+    return finding(leaves.where(bad), "T2", F.col("source"), F.lit("language missing"))
+
+
+def unfolded_codes(leaves: DataFrame) -> DataFrame:
+    """A code with a region that folding leaves as it is."""
+    from weftline.functions.languages import folded
+
+    return finding(leaves.where(F.col("lang").rlike("[-_]") & (folded(F.col("lang")) == F.col("lang"))), "T3", F.col("source"), F.col("lang"))
+
+
+def field_disagreement(leaves: DataFrame) -> DataFrame:
+    """T5: sources of one corpus and task that read another text field than the majority."""
+    from weftline.operators.measure import majority
+
+    m = majority(leaves, ["corpus", "task"], "text_field")
+    return finding(m.where("outliers > 0"), "T5", F.concat_ws("/", "corpus", "task"), F.format_string("%d do not read %s", "outliers", "majority"))
+
+
+def shared_paths(train: DataFrame, validation: DataFrame) -> DataFrame:
+    """D3: paths in both splits."""
+    return finding(train.join(validation.select("path"), "path", "left_semi").distinct(), "D3", F.col("path"), F.lit("in train and validation"))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def status(findings: DataFrame) -> DataFrame:
+    """Worst severity and number of findings by check."""
+    rank = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[F.col("severity")]
+    return findings.groupBy("check").agg(F.max_by("severity", rank).alias("severity"), F.count("*").alias("findings"))
+
+
+def exit_code(findings: DataFrame) -> int:
+    """2 if anything fails, 1 if anything warns, else 0."""
+    seen = {r[0] for r in findings.select("severity").distinct().collect()}
+    return 2 if "FAIL" in seen else 1 if "WARN" in seen else 0

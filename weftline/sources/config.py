@@ -1,0 +1,57 @@
+"""YAML configurations: environment expansion, source trees and inherited evaluation settings. For the driver only."""
+
+from __future__ import annotations
+
+import os
+import re
+from typing import Any
+
+from weftline.operators.batches import flattened
+
+#: Keys that an evaluation section takes over from its parent, by presence.
+INHERITED = ("text_field", "strict_text_field", "prompt_template", "use_chat_template")
+_OC, _DEFAULT, _PLAIN = re.compile(r"\$\{oc\.env:(\w+)(?:,([^}]*))?\}"), re.compile(r"\$\{(\w+):-([^}]*)\}"), re.compile(r"\$\{(\w+)\}|\$(\w+)")
+
+
+def expanded(value: Any, env: dict[str, str] | None = None) -> Any:
+    """Strings with ``${oc.env:V,default}``, ``${V:-default}``, ``${V}`` and ``$V`` filled in; containers throughout."""
+    env = dict(os.environ) if env is None else env
+    if isinstance(value, dict):
+        return {k: expanded(v, env) for k, v in value.items()}
+    if isinstance(value, list):
+        return [expanded(v, env) for v in value]
+    if not isinstance(value, str):
+        return value
+    value = _OC.sub(lambda m: env.get(m[1], m[2] if m[2] is not None else ""), value)
+    value = _DEFAULT.sub(lambda m: env.get(m[1]) or m[2], value)
+    return _PLAIN.sub(lambda m: env.get(m[1] or m[2], m[0]), value)
+
+
+def load(text: str, env: dict[str, str] | None = None) -> dict:
+    import yaml
+
+    return expanded(yaml.safe_load(text) or {}, env)
+
+
+def merged(base: dict, over: dict) -> dict:
+    """Nested dictionaries, the second winning."""
+    out = dict(base)
+    for k, v in over.items():
+        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def leaves(config: dict) -> list[dict]:
+    """Leaves of ``input_cfg`` with effective weights and tags."""
+    return list(flattened(config.get("input_cfg", [])))
+
+
+def evaluation_settings(parent: dict, section: dict) -> dict:
+    """The section with the four inherited keys that it does not hold itself."""
+    return {**{k: parent[k] for k in INHERITED if k in parent}, **section}
+
+
+def validation_path(path: str, split: str) -> str:
+    if not path.rstrip("/").endswith("/train"):
+        raise ValueError(f"no train folder: {path}")
+    return re.sub(r"/train/?\Z", f"/{split}", path)
