@@ -40,6 +40,15 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 
 
+MADE = [*[f"q_{c}" for c in COUNTS], "q_base_failed", "q_x", "q_lang", "q_source"]
+
+
+def once(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with the named columns behind a generator of one row: filters on them are not pushed into their making."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def counted(df: DataFrame) -> DataFrame:
     """``df`` with the base counts, base_failed and the vector x (columns are prefixed by ``q_`` until the end)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -88,7 +97,7 @@ def counted(df: DataFrame) -> DataFrame:
     one = one.withColumn("q_n_repeat_words", F.coalesce(covered, F.lit(0)))
     n, chars, lines = F.col("q_n_words").cast("double"), F.col("q_word_chars").cast("double"), F.size("q_lines").cast("double")
     share = lambda a, b: F.when(b > 0, F.col(a) / b).otherwise(0.0)
-    return one.withColumns(
+    one = one.withColumns(
         {
             "q_base_failed": (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words").cast("long") > MAX_REPEAT_PERCENT * F.col("q_n_words").cast("long")),
             "q_x": F.array(
@@ -101,7 +110,8 @@ def counted(df: DataFrame) -> DataFrame:
             "q_lang": F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")),
             "q_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
         }
-    ).drop("q_text", "q_words", "q_lines", "q_hash", "q_sorted", "q_places")
+    )
+    return once(one.drop("q_text", "q_words", "q_lines", "q_hash", "q_sorted", "q_places"), [c for c in one.columns if c in MADE])
 
 
 KEY = ["q_lang", "q_source"]
@@ -134,7 +144,7 @@ def distance(df: DataFrame) -> DataFrame:
     total: Column = F.lit(0.0)
     for i in range(P):
         total = total + F.col(f"q_y{i}") * F.col(f"q_y{i}")
-    return df.withColumn("q_d2", total).drop(*[f"q_y{i}" for i in range(P)])
+    return once(df.withColumn("q_d2", total).drop(*[f"q_y{i}" for i in range(P)]), ["q_d2"])
 
 
 def factored(groups: DataFrame) -> DataFrame:
