@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import basic_normalised, char_edits, word_edits, words
+from weftline.functions.text import basic_normalised, long_char_edits, word_edits, words
 
 
 def edits(df: DataFrame, reference: str = "reference", prediction: str = "prediction", normalise: bool = True) -> DataFrame:
@@ -16,7 +16,7 @@ def edits(df: DataFrame, reference: str = "reference", prediction: str = "predic
         "*",
         F.when(F.size("e_rw") == 0, F.size("e_hw")).otherwise(word_edits(F.col("e_rw"), F.col("e_hw"))).cast("long").alias("word_edits"),
         F.size("e_rw").cast("long").alias("ref_words"),
-        char_edits(F.col("e_ref"), F.col("e_hyp")).cast("long").alias("char_edits"),
+        long_char_edits(F.col("e_ref"), F.col("e_hyp")).alias("char_edits"),
         F.length("e_ref").cast("long").alias("ref_chars"),
     ).drop("e_ref", "e_hyp", "e_rw", "e_hw")
 

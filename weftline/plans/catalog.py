@@ -304,7 +304,8 @@ def identifiers(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """Sentences against themselves with every seventh word lost and 'e' misread."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.basic_normalised(F.col("text")).alias("reference"))
+    few = read(spark, sf_dir, "conversations").repartition(spark.sparkContext.defaultParallelism)  # a small file, much work per row
+    c = few.select("conv_id", "turn", "role", text.basic_normalised(F.col("text")).alias("reference"))
     words = F.filter(F.split("reference", " "), lambda w, i: i % 7 != 6)
     return c.withColumn("prediction", F.when(F.col("turn") % 2 == 0, F.array_join(words, " ")).otherwise(F.replace("reference", F.lit("e"), F.lit("a"))))
 
