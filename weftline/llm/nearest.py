@@ -8,7 +8,9 @@ simulated neighbours, so that every shard of the index can tell by itself which
 Candidates of all tables are merged and reranked by the exact inner product of the original vectors.
 
 The index rows are dealt by table, the first slots and, where a shard is large, a salt; a query goes to every shard
-whose first slots can still reach its bound. The distance d of the k-th neighbour comes from a bounded sample; every row
+whose first slots can still reach its bound. Shards pass on at most k candidates per query, none below the
+(SPARE * k)-th best score within the sample, as so many better ones are there to be found. A query that still ends
+with fewer than k visits every bucket in a second round. The distance d of the k-th neighbour comes from a bounded sample; every row
 is indexed. Shards hold about ``SHARD`` rows whatever the input; their count table (first slots only) is what the driver sees.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a
@@ -32,7 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.llm.common import written
+
 K, QUERY_STEP, TABLES, HASHES, WIDTH, TARGET, SHARD, SAMPLE, TRIES = 20, 20, 2, 10, 1.0, 0.97, 8192, 20_000, 256
+#: Shards leave out what is below the (SPARE * k)-th score of the sample.
+SPARE = 3
 #: Slots beyond this many widths from the centre are joined to the last one.
 EDGE = 4
 _NORMAL = np.vectorize(NormalDist().cdf, otypes=[float])
@@ -55,6 +61,19 @@ class Index:
     hashes: int = HASHES
     width: float = WIDTH
     target: float = TARGET
+    #: The sample's vectors and ids: the k-th best of them is below the k-th best of all.
+    known: np.ndarray | None = None
+    known_ids: np.ndarray | None = None
+
+    def least(self, q: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """Per query a score that ``SPARE * k`` rows reach for certain; minus infinity if the sample is too small."""
+        k *= SPARE
+        if len(self.known_ids) <= k:
+            return np.full(len(q), -np.inf)
+        scores = q.astype(np.float32) @ self.known.T
+        scores[own[:, None] == self.known_ids[None, :]] = -np.inf
+        slack = 1e-4 * np.linalg.norm(q, axis=1) * self.longest
+        return np.partition(scores, len(self.known_ids) - k, axis=1)[:, len(self.known_ids) - k] - slack
 
     @cached_property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +131,15 @@ def vectors(column: pa.Array) -> np.ndarray:
 
 def fit(rows: DataFrame, n: int, k: int = K) -> Index | None:
     """Length, longest norm and the distance of a k-th neighbour, from a sample chosen by a hash of the id."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE rows at most
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # SAMPLE rows at most
+    ids, sample = sample["vec_id"], sample["v"]
     sizes = sample.map(len)
     if not len(sizes):
         return None
     size = int(sizes.mode()[0])
     longest = rows.where(F.size("v") == size).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     x = np.stack(sample[sizes == size].to_list())
-    index = Index(size, math.sqrt(longest), 1.0)
+    index = Index(size, math.sqrt(longest), 1.0, known=x.astype(np.float32), known_ids=ids[sizes == size].to_numpy())
     some = x[: max(1, min(200, len(x)))]
     near = np.sort(index.asked(some) @ index.raised(x).T, axis=1)[:, ::-1][:, 1:]
     rank = min(max(0, math.ceil(k * len(x) / max(n, 1)) - 1), max(0, near.shape[1] - 1))
@@ -174,14 +194,18 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             part = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % m
             yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(part), batch.column("vec_id"), batch.column("v")], names=["shard", "part", "vec_id", "v"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], everywhere: bool = False) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
-            x = ix.asked(vectors(batch.column("v")))
-            for t in range(ix.tables):
+            raw = vectors(batch.column("v"))
+            least = np.concatenate([ix.least(raw[i : i + 256], batch.column("vec_id").to_numpy()[i : i + 256], k) for i in range(0, len(raw), 256)] or [np.zeros(0)])
+            if everywhere:
+                least[:] = -np.inf
+            x = ix.asked(raw)
+            for t in range(1 if everywhere else ix.tables):
                 values = ix.values(x, t)
                 logs = ix.logs(values)
-                bound = ix.bounds(values, logs)
+                bound = np.full(len(x), -np.inf) if everywhere else ix.bounds(values, logs)
                 best = logs[:, first:].max(2).sum(1)
                 for shard, m in salts.value.items():
                     table, digits = shard, []
@@ -196,7 +220,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                         continue
                     for part in range(m):
                         rest = [pa.array(np.full(len(hit), v)) for v in (shard, part)]
-                        yield pa.RecordBatch.from_arrays([*rest, batch.column("vec_id").take(pa.array(hit)), pa.array(bound[hit]), batch.column("v").take(pa.array(hit))], names=["shard", "part", "query_id", "bound", "v"])
+                        yield pa.RecordBatch.from_arrays([*rest, batch.column("vec_id").take(pa.array(hit)), pa.array(bound[hit]), pa.array(least[hit]), batch.column("v").take(pa.array(hit))], names=["shard", "part", "query_id", "bound", "least", "v"])
 
     def visit(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ix, out = shared.value, []
@@ -208,11 +232,12 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             for at in range(0, len(right), 256):
                 some = right.iloc[at : at + 256]
                 q, own, bound = np.stack(some["v"].to_list()).astype(float), some["query_id"].to_numpy(), some["bound"].to_numpy()
+                least = some["least"].to_numpy()
                 logs = ix.logs(ix.values(ix.asked(q), t))
                 success = sum(logs[:, i, :][:, bucket[:, i]] for i in range(ix.hashes))
                 rough = q @ x.T
                 for j in range(len(q)):
-                    seen = np.flatnonzero((success[j] >= bound[j])[of] & (ids != own[j]))
+                    seen = np.flatnonzero((success[j] >= bound[j])[of] & (rough[j] >= least[j]) & (ids != own[j]))
                     seen = seen[top(rough[j, seen], ids[seen], k)]
                     exact = (x[seen] * q[j]).sum(1)
                     order = np.lexsort((ids[seen], -exact))[:k]
@@ -220,8 +245,18 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     stored = rows.mapInArrow(salted, "shard long, part long, vec_id long, v array<double>")
-    asked = rows.where(F.col("vec_id") % query_step == 0).mapInArrow(probe, "shard long, part long, query_id long, bound double, v array<double>")
-    found = stored.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(visit, "query_id long, vec_id long, score double")
+    queries = rows.where(F.col("vec_id") % query_step == 0)
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+
+    def answered(some: DataFrame, how) -> DataFrame:
+        asked = some.mapInArrow(how, "shard long, part long, query_id long, bound double, least double, v array<double>")
+        found = stored.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(visit, "query_id long, vec_id long, score double")
+        ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+        return written(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
+
+    got = answered(queries, probe)
+    short = queries.join(got.where(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    if n > 1 and not short.isEmpty():
+        got = got.unionByName(answered(short, lambda batches: probe(batches, True))).dropDuplicates(["query_id", "vec_id"])
+        got = got.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return got.select("query_id", "rank", "vec_id", "score")
