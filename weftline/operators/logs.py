@@ -20,7 +20,7 @@ def exploded(batches: DataFrame) -> DataFrame:
 
 def positions(df: DataFrame, stream: list[str], order: str) -> DataFrame:
     """Adds the place of each row in its stream, from 0."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*stream).orderBy(order)) - 1)
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*stream).orderBy(order)).cast("long") - 1)
 
 
 def split_position(step: int, accumulate: int, workers: int) -> int:

@@ -83,7 +83,7 @@ def duration_histogram(spark, sf_dir):
 
 @query(f"""WITH {CUTS}, h AS (SELECT lang, CAST(round_even(duration / 0.01, 0) AS BIGINT) AS key, count(*) AS n FROM cuts GROUP BY ALL),
   c AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY key) AS cum, sum(n) OVER (PARTITION BY lang) AS total FROM h)
-  SELECT lang, round(min(key) FILTER (cum >= 0.99 * total) * 0.01, 6) AS at_share, round(max(key) * 0.01, 6) AS longest FROM c GROUP BY 1""")
+  SELECT lang, round(min(key) FILTER (cum >= 0.99 * total) * 0.01::DOUBLE, 6) AS at_share, round(max(key) * 0.01::DOUBLE, 6) AS longest FROM c GROUP BY 1""")
 def histogram_p99(spark, sf_dir):
     """A12 A16 W5."""
     hist = measure.histogram(records.durations(spark, sf_dir), F.col("duration"), ["corpus", "lang"])
