@@ -201,3 +201,45 @@ def test_streams(spark, tmp_path):
     for k in range(2):
         streaming.append_new(stream, out, str(tmp_path / f"ck{k}")).start().awaitTermination()
     assert spark.read.json(out).count() == 3
+
+
+def test_yaml_edits():
+    body = "data:\n  train_ds:\n    total_hours: 1.0  # measured\n    input_cfg:\n      - weight: 2\n"
+    assert config.line_index(body)["data.train_ds.total_hours"] == 3
+    assert "total_hours: 7  # measured" in config.replaced_scalar(body, "data.train_ds.total_hours", "7")
+    rows = [{"lang_key": "en", "path": "/a", "p_l": 0.6, "p_c": 1.0, "tags": {"lang": "en"}}, {"lang_key": "de", "path": "/b", "p_l": 0.4, "p_c": 1.0}]
+    tree = config.load("input_cfg:\n" + config.weighted_yaml(rows))
+    assert [x["effective_weight"] for x in config.leaves(tree)] == [0.6, 0.4]
+
+
+def test_runtime_checks():
+    cfg = {"data": {"strict_text_field": True, "train_ds": {"force_estimate": True, "max_duration": 40}, "validation_ds": {"total_hours": 1, "batch_size": 4, "input_cfg": [{"tags": {"text_field": "x"}}]}}}
+    cfg |= {"trainer": {"do_eval": True, "eval_strategy": "steps", "per_device_eval_batch_size": -1}, "model": {"encoder": {"max_audio_seq_len": 1500}}}
+    assert {f["check"] for f in checks.runtime(cfg, {"train_ds": True})} == {"E1", "E2", "E3", "C1", "C2", "C3", "C6"}
+
+
+def test_probe_and_index_checks(spark):
+    leaves = spark.createDataFrame([("a", "custom.t", "asr"), ("b", "", "asr"), ("c", "", "st"), ("d", "", "asr"), ("e", "custom.t", "asr")], "path string, text_field string, task string")
+    first = spark.createDataFrame([("a", "x", "{}"), ("b", " ", "{}"), ("c", "x", '{"translation_en": "y"}'), ("d", "x", '{"pnc_text": "X."}'), ("e", "x", '{"t": "ok"}')], "path string, supervision_text string, custom string")
+    assert {r["place"] for r in checks.text_probe(leaves, first).collect()} == {"a", "b", "c", "d"}
+    files = spark.createDataFrame([("a", "0", 10.0, 10.0), ("a", "1", 10.0, 8.0), ("b", "0", 10.0, None)], "path string, shard string, modified double, index_modified double")
+    assert {r["place"] for r in checks.stale_indexes(files).collect()} == {"a/1", "b/0"}
+    assert {r["place"] for r in checks.missing_manifests(files, leaves).collect()} == {"c", "d", "e"}
+
+
+def test_datasets(spark, tmp_path):
+    from weftline.operators import datasets, schedule
+
+    home = tmp_path / "set" / "en" / "train"
+    home.mkdir(parents=True)
+    shard(home, "cuts.000000.jsonl", [{"id": "a", "duration": 1.0}, {"id": "b", "duration": 1.0}])
+    d = datasets.Dataset(str(tmp_path / "set"), languages=["en"])
+    assert d.load(spark, "train", "en").count() == 2
+    with pytest.raises(ValueError):
+        d.path("train", "xx")
+    assert datasets.resolve(spark, f"shar::{home}", "train", 1).count() == 1
+    assert {r["id"] for r in datasets.manifest_ids(spark, str(home)).collect()} == {"a", "b"}
+    assert schedule.evaluation_batch_size(-1) == 1 and schedule.resolved_seed("randomized", True, 3) == 3
+    with pytest.raises(ValueError):
+        schedule.resumed(spark.range(1).withColumnRenamed("id", "batch_idx"), 0, 2, 1, (4, 1))
+    assert prompts.check_boundaries("chatml", "<|im_start|>assistant\nPROBE<|im_end|>\n") == []

@@ -125,3 +125,12 @@ def expanded(text: Column, token: str, n: Column) -> Column:
 
 def surrounded(text: Column, token: str, before: str, after: str) -> Column:
     return F.replace(text, F.lit(token), F.lit(before + token + after))
+
+
+def check_boundaries(name: str, probe: str) -> list[str]:
+    """Problems of a rendered probe conversation: a boundary that is not there, or text put before the content."""
+    start, end = boundaries(name)
+    out = [f"{label} {b!r} does not occur" for label, b in (("start", start), ("end", end)) if b not in probe]
+    if not out and not probe.split(start, 1)[1].startswith("PROBE"):
+        out.append("text stands before the assistant's content")
+    return out

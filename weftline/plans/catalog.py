@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import arithmetic, languages, numbers, text
-from weftline.operators import batches, checks, logs, measure, pairing, prompts, records, scoring
+from weftline.operators import batches, checks, datasets, logs, measure, pairing, prompts, records, schedule, scoring
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -642,3 +642,92 @@ def running_totals(spark, sf_dir):
     """Cumulative counts within groups, over an aggregate."""
     g = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"), (F.col("o_custkey") % 10).alias("part")).agg(F.count("*").alias("n"))
     return g.withColumn("running", F.sum("n").over(Window.partitionBy("name").orderBy("part")))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id, event_id % 4 AS stream FROM events), p AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1)
+  SELECT count(*) AS distinct_ids, round(count(*) / 200::DOUBLE, 6) AS share, CAST(sum(n - 1) AS BIGINT) AS cross_stream_duplicates FROM p""")
+def epoch_coverage(spark, sf_dir):
+    """What streams cover together, and what several of them saw."""
+    e = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 4).alias("stream"))
+    return schedule.coverage(e, "user_id", 200, ["stream"])
+
+
+@query("SELECT o_orderpriority, o_orderkey, CAST(floor((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) / 16) AS BIGINT) AS chunk FROM orders")
+def fixed_chunks(spark, sf_dir):
+    """B17."""
+    return schedule.chunked(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), 16, ["o_orderpriority"], "o_orderkey")
+
+
+@query("SELECT user_id, event_id, event_type FROM events WHERE event_id > 5000")
+def resume_position(spark, sf_dir):
+    """Batches after a checkpoint."""
+    plan = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("batch_idx"), "event_type")
+    return schedule.resumed(plan, 5000, 4, 2, (4, 2)).withColumnRenamed("batch_idx", "event_id")
+
+
+@query(f"""WITH {CUTS}, s AS (SELECT lang, count(*) AS cuts, sum(duration) / 3600 AS hours, ceil(ceil(ceil(sum(duration) / 200) / 4) / 8) AS steps FROM cuts GROUP BY 1)
+  SELECT lang, cuts, CAST(ceil(steps * 2.5) AS BIGINT) AS max_steps, round(hours / greatest(steps, 1), 6) AS hours_per_step, round(hours / greatest(steps, 1) * 10, 6) AS hours_per_log FROM s""")
+def run_schedule(spark, sf_dir):
+    """B13."""
+    s = records.durations(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("cuts"), F.sum("duration").alias("seconds"))
+    steps = arithmetic.steps_per_epoch(F.col("cuts"), F.col("seconds"), batch_duration=200.0, world=4, accumulate=8)
+    return s.select("lang", *[c.alias(k) for k, c in schedule.schedule(F.col("cuts"), F.col("seconds") / 3600, 2.5, steps, 10).items()])
+
+
+@query("""SELECT url, list_extract(string_split(rtrim(url, '/'), '/'), -1) AS name, CASE WHEN len(string_split(rtrim(url, '/'), '/')) >= 3 THEN list_extract(string_split(rtrim(url, '/'), '/'), -3) END AS dataset FROM pages""")
+def source_paths(spark, sf_dir):
+    """P22 P31."""
+    return read(spark, sf_dir, "pages").select("url", *[c.alias(k) for k, c in datasets.path_columns(F.col("url")).items()])
+
+
+@query("""SELECT conv_id, coalesce(nullif(arg_min(role, turn), ''), 'unknown') AS language, nullif(trim(string_agg(trim(text), ' ' ORDER BY turn)), '') AS joined FROM conversations GROUP BY 1""")
+def supervision_text(spark, sf_dir):
+    """The first supervision's tag, and all texts from first to last."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", F.col("role").alias("language")))).alias("s"))
+    return c.select("conv_id", datasets.record_language(F.col("s"), F.lit(None).cast("string")).alias("language"), datasets.joined_text(F.col("s")).alias("joined"))
+
+
+@query("""SELECT '/r/checkpoint-' || max(o_custkey) AS path, max(o_custkey) AS step FROM orders""")
+def latest_checkpoint(spark, sf_dir):
+    """W7."""
+    return datasets.latest_checkpoint(read(spark, sf_dir, "orders").select(F.concat(F.lit("/r/checkpoint-"), F.col("o_custkey")).alias("path")))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS completed, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value IS NULL) AS skipped FROM events""")
+def run_counters(spark, sf_dir):
+    """A31 A37."""
+    e = read(spark, sf_dir, "events")
+    return e.agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("completed"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("value").isNull()).alias("skipped"))
+
+
+@query("SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def value_distribution(spark, sf_dir):
+    """A38 K10."""
+    return read(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("value") / 10).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CUTS}, s AS (SELECT corpus, count(*) AS n, sum(duration) AS d FROM cuts GROUP BY 1)
+  SELECT corpus, CASE WHEN n = 0 THEN '' ELSE printf('%.2f', d / n) END AS mean_text FROM s""")
+def report_formats(spark, sf_dir):
+    """X14."""
+    s = records.durations(spark, sf_dir).groupBy("corpus").agg(F.count("*").alias("n"), F.sum("duration").alias("d"))
+    return s.select("corpus", text.ratio_text(F.col("d"), F.col("n"), 2).alias("mean_text"))
+
+
+@query("""WITH l AS (SELECT n_name AS source, n_regionkey % 2 AS t, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'en' END AS lang FROM nation)
+  SELECT 'T2' AS "check", 'WARN' AS severity, source AS place, 'language missing' AS message FROM l WHERE (t = 0 AND lang = '') OR t = 1""")
+def language_checks(spark, sf_dir):
+    """chk:T2."""
+    n = read(spark, sf_dir, "nation")
+    leaves = n.select(F.col("n_name").alias("source"), F.when(F.col("n_regionkey") % 2 == 0, "asr").otherwise("st").alias("task"), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise("en").alias("lang"), F.lit(None).cast("string").alias("src_lang"), F.lit("de").alias("tgt_lang"))
+    return checks.missing_languages(leaves)
+
+
+@query("SELECT conv_id, turn, [1, 2, 3, turn % 3 + 7]::BIGINT[]::VARCHAR AS places, turn % 3 + 7 AS total FROM conversations")
+def merged_positions(spark, sf_dir):
+    """M5: places of tokens after an audio token has grown."""
+    c = read(spark, sf_dir, "conversations")
+    tokens = F.array(*[F.lit(i) for i in range(4)])
+    audio, length = F.array(F.lit(False), F.lit(False), F.lit(True), F.lit(False)), F.array_repeat((F.col("turn") % 3 + 4).cast("long"), 4)
+    places, total = schedule.merged_positions(tokens, audio, length)
+    return c.select("conv_id", "turn", F.concat(F.lit("["), F.array_join(F.transform(places, lambda p: (p + 1).cast("string")), ", "), F.lit("]")).alias("places"), (total + 0).alias("total"))

@@ -17,6 +17,10 @@ MANIFEST = (
 EMISSION = "time string, rank int, world_size int, worker_id int, batch_idx long, num_cuts int, cut_ids array<string>, _corrupt string"
 
 
+#: A line that gave no known field is no record; Spark also refuses a scan of the corrupt column alone.
+VALID = "_corrupt is null and (id is not null or duration is not null or supervisions is not null or custom is not null)"
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -47,14 +51,14 @@ def read_manifests(spark: SparkSession, sources: list[str], corrupt: str = "skip
         df = spark.read.schema(MANIFEST).option("columnNameOfCorruptRecord", "_corrupt").json(files)
     df = df.withColumns({"file": F.col("_metadata.file_path")} if files else {"file": F.lit("")})
     df = df.withColumns({"shard": F.regexp_extract("file", r"cuts\.([^./]+)\.jsonl", 1), "source": F.regexp_replace("file", r"/[^/]*$", "")})
-    return df.where("_corrupt is null").drop("_corrupt") if corrupt == "skip" else df
+    return df.where(VALID).drop("_corrupt") if corrupt == "skip" else df
 
 
 def read_cuts_file(spark: SparkSession, path: str, mode: str = "measure") -> DataFrame:
     """A single cuts file; the training loader refuses this kind of source."""
     if mode == "train":
         raise ValueError("a cuts file is no training source")
-    return spark.read.schema(MANIFEST).option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
+    return spark.read.schema(MANIFEST).option("columnNameOfCorruptRecord", "_corrupt").json(path).where(VALID).drop("_corrupt")
 
 
 def first_record(spark: SparkSession, source: str) -> dict | None:
