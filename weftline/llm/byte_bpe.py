@@ -16,8 +16,10 @@ id stays null; repeated rows each give a row; an empty table gives an empty tabl
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -25,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import ChunkCache, slices, texts
+from weftline.llm.common import ChunkCache, gather, group_sums, slices, texts
 
 LONG = 64
 #: Characters with the Unicode property White_Space, as the pattern's ``\s`` reads them.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_COARSE = regex.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+_COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 CONTRACT = """
 with recursive step(done, w, p, t, nx) as (
@@ -45,7 +47,7 @@ with recursive step(done, w, p, t, nx) as (
           case when s.p = (h.h & 4294967295) then h.nn else s.nx end
    from step s left join hit h on s.w = h.w where not s.done and s.p is distinct from h.q)
 )
-select t from step where done order by w, p
+select p, t from step where done
 """
 CONTRACT_LONG = """
 with recursive step(done, w, p, t) as (
@@ -65,7 +67,7 @@ with recursive step(done, w, p, t) as (
    left_over as (select *, lag(take, 1, false) over (partition by w order by p) as gone from taken)
    select b is null, w, p, case when take then b else t end from left_over where not gone)
 )
-select t from step where done order by w, p
+select p, t from step where done
 """
 DECODE = "select string_agg(v.s, '' order by i.p) as s from ids i join vocab v on v.t = i.t group by i.d order by i.d"
 
@@ -95,38 +97,43 @@ class Codec:
         self._table("merges", k=pa.array(k, pa.int64()), m=pa.array(m, pa.int64()))
         self._table("unsafe", m=pa.array(sorted(unsafe), pa.int64()))
         self._table("vocab", t=pa.array(known.values(), pa.int64()), s=pa.array([t.decode("latin-1") for t in known]))
-        self.cache = ChunkCache(_COARSE.findall, self.resolve, 200_000)
+        self.cache = ChunkCache(_COARSE.findall, self.resolve, 300_000)
 
     def _table(self, name: str, **cols) -> None:
         self.con.register("given", pa.table(cols))
         self.con.execute(f"create table {name} as select * from given")
         self.con.unregister("given")
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, by the recursive query."""
-        out: list = [None] * len(words)
-        for query, some in ((CONTRACT, [i for i, w in enumerate(words) if len(w) <= LONG]), (CONTRACT_LONG, [i for i, w in enumerate(words) if len(w) > LONG])):
-            for first in range(0, len(some), 20_000):
-                block = some[first : first + 20_000]
-                size = np.array([len(words[i]) for i in block])
-                raw = np.frombuffer(b"".join(words[i] for i in block), np.uint8)
-                place, word = np.arange(len(raw)), np.repeat(np.arange(len(block)), size)
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, by the recursive query, and how many each word has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first, count, parts, done = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        for query, some in ((CONTRACT, np.flatnonzero(size <= LONG)), (CONTRACT_LONG, np.flatnonzero(size > LONG))):
+            for at in range(0, len(some), 20_000):
+                block = some[at : at + 20_000]
+                raw = np.frombuffer(b"".join([words[i] for i in block]), np.uint8)
+                place, word = np.arange(len(raw)), np.repeat(np.arange(len(block)), size[block])
                 nx = place + 1
-                nx[np.cumsum(size) - 1] = -1
+                nx[np.cumsum(size[block]) - 1] = -1
                 self.con.register("sym", pa.table({"w": word, "p": place, "t": self.byte[raw], "nx": nx}))
-                got = self.con.sql(f"select w, count(*) as n, list(t order by p) as ids from ({query.replace('select t from step', 'select w, p, t from step')}) group by w order by w").to_arrow_table()
-                ids = got.column("ids").combine_chunks()
-                flat, ends = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
-                for j, i in enumerate(block):
-                    out[i] = flat[ends[j] : ends[j + 1]]
-        return out
-
-    def resolve(self, unseen: list[str]) -> list[np.ndarray]:
+                got = self.con.sql(query).to_arrow_table()
+                p, t = got.column("p").to_numpy(), got.column("t").to_numpy()
+                parts.append(t[np.argsort(p)].astype(np.int32))  # places run on over the words
+                count[block] = n = np.bincount(word[p], minlength=len(block))
+                first[block] = done + np.cumsum(n) - n
+                done += len(t)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return gather(flat, first, count), count
+
+    def resolve(self, unseen: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of coarse chunks (an optional blank and what stands up to the next white space), match by match."""
         split = [self.fine.findall(c) for c in unseen]
-        words = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-        ids = self.contract([w.encode("utf-8") for w in words])
-        return [ids[words[ws[0]]] if len(ws) == 1 else np.concatenate([ids[words[w]] for w in ws]) for ws in split]
+        every = list(chain.from_iterable(split))
+        words = {w: i for i, w in enumerate(dict.fromkeys(every))}
+        flat, n = self.contract([w.encode("utf-8") for w in words])
+        code = np.fromiter(map(words.__getitem__, every), np.int64, len(every))
+        pieces = np.fromiter(map(len, split), np.int64, len(split))
+        return gather(flat, (np.cumsum(n) - n)[code], n[code]), group_sums(n[code], pieces)
 
     def encode(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and how many each text has."""

@@ -82,7 +82,7 @@ def chunks(text: str) -> list[str]:
 class ChunkCache:
     """Ids of distinct chunks, kept across the batches of one Python worker under a fixed bound.
 
-    ``resolve`` maps unseen chunks to their ids. Past ``limit`` entries, those seen only once go, so that the
+    ``resolve`` maps unseen chunks to lists of ids, or to all ids in a row and how many each chunk has. Past ``limit`` entries, those seen only once go, so that the
     memory does not grow with the input.
     """
 
@@ -100,21 +100,24 @@ class ChunkCache:
         keep = np.flatnonzero(self.seen > 1)
         if len(keep) > self.limit // 2:
             keep = keep[np.argsort(-self.seen[keep], kind="stable")[: self.limit // 2]]
-        ids = [self.flat[self.start[k] : self.start[k] + self.size[k]].copy() for k in keep]
+        ids = gather(self.flat, self.start[keep], self.size[keep]), self.size[keep]
         names, seen = [names[k] for k in keep], self.seen[keep] // 2
         self._reset()
         self._add(names, ids)
         self.seen = seen
 
-    def _add(self, names: list[str], ids: list) -> None:
-        sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        more = int(sizes.sum())
+    def _add(self, names: list[str], ids) -> None:
+        if not isinstance(ids, tuple):
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+        row, sizes = ids
+        more = len(row)
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.int32, more)
+        self.flat[self.used : self.used + more] = row
         self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
-        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
         base = len(self.code)
         self.code.update(zip(names, range(base, base + len(names)), strict=True))
         self.used += more
@@ -129,7 +132,7 @@ class ChunkCache:
         unseen = set(every)
         unseen.difference_update(self.code)
         if unseen:
-            self._add(names := sorted(unseen), list(self.resolve(names)))
+            self._add(names := sorted(unseen), self.resolve(names))
         code = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
         self.seen += np.bincount(code, minlength=len(self.seen))
         return code, n
@@ -143,10 +146,13 @@ class ChunkCache:
         """All ids of all texts in a row, and how many each text has."""
         code, n = self.codes(texts)
         size = self.size[code]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        at = np.repeat(self.start[code] - (end - size), size) + np.arange(total)
-        return self.flat[at], group_sums(size, n)
+        return gather(self.flat, self.start[code], size), group_sums(size, n)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` from each start, one after the other."""
+    end = np.cumsum(size)
+    return flat[np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
 def group_sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
