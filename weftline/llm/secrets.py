@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,9 +81,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of high entropy that no fixed span overlaps."""
-    out = []
+    out, i = [], 0
+    ends = list(accumulate((b for _, _, b in base), max))  # base is sorted by start
     for m in CANDIDATE.finditer(text):
-        if is_secret(m.group()) and not any(a < m.end() and m.start() < b for a, _, b in base):
+        while i < len(base) and base[i][0] < m.end():
+            i += 1
+        if (not i or ends[i - 1] <= m.start()) and is_secret(m.group()):
             out.append((m.start(), 3, m.end()))
     return out
 
