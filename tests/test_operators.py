@@ -243,3 +243,17 @@ def test_datasets(spark, tmp_path):
     with pytest.raises(ValueError):
         schedule.resumed(spark.range(1).withColumnRenamed("id", "batch_idx"), 0, 2, 1, (4, 1))
     assert prompts.check_boundaries("chatml", "<|im_start|>assistant\nPROBE<|im_end|>\n") == []
+
+
+def test_cache_and_copied_bins(spark):
+    from weftline.operators import cache
+
+    sources = spark.createDataFrame([("a", 5.0, 3), ("b", 9.0, 6), ("c", 1.0, 1)], "path string, modified double, shards int")
+    known = spark.createDataFrame([("a", 5.5, 10, "{}", False, 1.0), ("b", 5.0, 10, "{}", False, 2.0)], "path string, measured double, cuts int, hist string, sampled boolean, hours double")
+    j = cache.judged(sources, known)
+    assert {r["path"]: r["verdict"] for r in j.collect()} == {"a": "reuse", "b": "stale", "c": "missing"}
+    assert cache.to_measure(j, 5) == ["c"] and cache.to_measure(j, None) == ["b", "c"]
+    assert cache.updated(known, known.where("path = 'b'").withColumn("hours", F.lit(7.0))).agg(F.sum("hours")).first()[0] == 8.0
+    cfg = spark.createDataFrame([("t", [1.0, 5.0], [1.0, 2.0])], "split string, bins array<double>, expected array<double>")
+    others = spark.createDataFrame([("o", [1.0, 5.0])], "name string, bins array<double>")
+    assert [r["message"] for r in checks.copied_bins(cfg, others).collect()] == ["also in o"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import arithmetic, languages, numbers, text
-from weftline.operators import batches, checks, datasets, logs, measure, pairing, prompts, records, schedule, scoring
+from weftline.operators import batches, cache, checks, datasets, logs, measure, pairing, prompts, records, schedule, scoring
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -731,3 +731,24 @@ def merged_positions(spark, sf_dir):
     audio, length = F.array(F.lit(False), F.lit(False), F.lit(True), F.lit(False)), F.array_repeat((F.col("turn") % 3 + 4).cast("long"), 4)
     places, total = schedule.merged_positions(tokens, audio, length)
     return c.select("conv_id", "turn", F.concat(F.lit("["), F.array_join(F.transform(places, lambda p: (p + 1).cast("string")), ", "), F.lit("]")).alias("places"), (total + 0).alias("total"))
+
+
+@query("""SELECT o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 THEN 'missing' WHEN o_totalprice > 150000 THEN 'stale' ELSE 'reuse' END AS verdict FROM orders""")
+def cache_verdicts(spark, sf_dir):
+    """Which measurements can be used again."""
+    o = read(spark, sf_dir, "orders")
+    sources = o.select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("modified"), F.lit(1).alias("shards"))
+    known = o.where("o_orderkey % 7 <> 0").select(
+        F.col("o_orderkey").alias("path"), F.lit(149999.0).alias("measured"), F.when(F.col("o_orderkey") % 5 != 0, 1).alias("cuts"), F.lit("{}").alias("hist"), (F.col("o_orderkey") % 3 == 0).alias("sampled")
+    )
+    return cache.judged(sources, known).select("path", "verdict")
+
+
+@query("""WITH leaves AS (SELECT o_orderpriority AS split, o_custkey AS path FROM orders), c AS (SELECT c_custkey AS path, c_acctbal AS hours, c_nationkey AS cuts FROM customer WHERE c_custkey % 4 > 0)
+  SELECT split, round(coalesce(sum(hours), 0), 6) AS hours, CAST(coalesce(sum(cuts), 0) AS BIGINT) AS cuts, count(DISTINCT path) AS paths, count(*) - count(DISTINCT path) AS duplicates,
+  count(*) - count(hours) AS unmeasured FROM leaves LEFT JOIN c USING (path) GROUP BY 1""")
+def split_totals(spark, sf_dir):
+    """A13 A35 RULE7: a path listed twice counts twice."""
+    leaves = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), F.col("o_custkey").alias("path"))
+    known = read(spark, sf_dir, "customer").where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("path"), F.col("c_acctbal").alias("hours"), F.col("c_nationkey").cast("long").alias("cuts"))
+    return cache.split_totals(leaves, known)
