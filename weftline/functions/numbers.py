@@ -1,7 +1,7 @@
 """Spelled-out English numbers as digits, exact for any size.
 
 A run of number words is read by a small grammar: groups below a hundred, hundreds, then powers of a thousand;
-digits spoken one by one are joined; 'point' starts decimals; ordinals and plurals keep their ending; a sign word or a
+digits spoken one by one are joined, as are two numbers below a hundred ('nineteen eighty four'); 'point' starts decimals; ordinals and plurals keep their ending; a sign word or a
 currency word next to a number becomes a prefix, 'percent' a suffix; 'and' binds only between a hundred or a higher
 power and what follows, 'and a half' adds .5, 'double' and 'triple' repeat a digit.
 """
@@ -113,6 +113,11 @@ class _Reader:
             return None
         value = total + (group or 0)
         text = text or _text(value)
+        following = self.word(i)
+        if not ending and not total and group is not None and 10 <= group <= 99 and text.isdigit() and (following in TENS or ONES.get(following, 0) >= 10 or ENDINGS.get(following, ("",))[0] in TENS):
+            more = self.take(i)  # years and the like: two numbers below a hundred, said one after the other
+            if more and re.fullmatch(r"\d\d(st|nd|rd|th|s)?", more[0]):
+                return prefix + text + more[0], more[1]
         if not ending and self.words[i : i + 3] == ["and", "a", "half"] and "." not in text:
             text, i = _text(value + Fraction(1, 2)), i + 3
         if not ending and self.word(i) == "point":
