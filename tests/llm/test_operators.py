@@ -322,6 +322,16 @@ def test_toxicity_learns_words_and_sees_through_disguise(spark, docs, nothing):
     assert {r["score"] for r in toxicity.score(train, none).collect()} == {0.0}
 
 
+def test_disguises_at_edges_in_long_runs_between_words_and_by_doubles():
+    words = "you are a worthless idiot what loser stupid the of hello tree and is to in".split()
+    model = toxicity.Model({" idiot ": 0.9, " loser ": 0.9, " stupid ": 0.9}, 0.0, dict.fromkeys(words, 50.0))
+    of = model.scorer()
+    for hidden in ("$tupid", "!diot", "|oser", "$tup1d", "1 d 1 0 t", "what a l o s e r", "y o u a r e a w o r t h l e s s i d i o t", "iddiioott", "you,1d10t", "lo$er" + " x1" * 50):
+        assert of(hidden) >= 0.9, hidden
+    for fine in ("hello! (hello) $100", "1 2 3 4 5 6", "tree", "a1" * 20_000):
+        assert of(fine) == 0.0, fine
+
+
 def test_quality_classifier_held_out(spark, docs, nothing):
     train, labels = labelled(spark)
     model = quality_classifier.fit(train, labels)

@@ -1,7 +1,7 @@
 """Toxicity: a noisy-channel model restores disguised words, then the restored text is scored.
 
-Words that look disguised (signs or digits inside, single letters with separators, letters three times in a row) become
-a lattice: each sign offers letters with a channel cost, separators and repeats may vanish. Viterbi decoding under a
+Words that look disguised (signs or digits beside letters, single letters with separators, repeated letters) become a
+lattice: each sign offers letters with a channel cost, repeats may vanish, separators vanish or end a word. Viterbi decoding under a
 character trigram model of the sample's words picks the spelling. Words and word beginnings that mark toxic rows of the
 sample form a lexicon (each new entry has to explain rows that earlier ones leave unexplained, so the rare words of
 copied documents do not enter). A text's score joins its distinct hits, plain or restored, as 1 - product(1 - p).
@@ -32,19 +32,20 @@ from weftline.llm.fitting import FIT_ROWS, labelled_sample
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
-SIGN_COST, REPEAT_COST, SEPARATOR_COST = 1.0, 0.5, 0.1
+SIGN_COST, REPEAT_COST, SEPARATOR_COST, WORD_COST = 1.0, 0.5, 0.1, 1.0
 SEPARATORS = " ._*-"
 MIN_SUPPORT, MIN_PURITY, MAX_CANDIDATES = 3, 0.8, 4000
 PREFIXES = range(4, 9)
 
 _LETTER = r"[^\W\d_]"
 _LEET = re.escape("".join(SIGNS))
-_DISGUISED = re.compile(
-    rf"(?<!\w){_LETTER}([ ._*\-])(?:(?:{_LETTER}|[{_LEET}])\1){{2,}}(?:{_LETTER}|[{_LEET}])(?!\w)"  # i d i o t
-    rf"|[^\s{_LEET}]*{_LETTER}[{_LEET}][^\s]*|[{_LEET}]+{_LETTER}[^\s]*"  # 1d10t
-    rf"|[^\s]*({_LETTER})\2\2[^\s]*"  # idiooot
-)
-_EDGE = "!$|+().,;:?\"'*%&#<>[]{}-_=/"
+_ANY = rf"(?:{_LETTER}|[{_LEET}])"
+_SPACED = re.compile(rf"(?<!\w){_ANY}([ ._*\-])(?:{_ANY}\1)+{_ANY}(?!\w)")  # i d i o t
+_SIGNED = re.compile(rf"{_LETTER}[{_LEET}]|[{_LEET}]{_LETTER}")  # 1d10t
+_REPEATED = re.compile(rf"({_LETTER})\1")  # iddiot
+_EDGE = ".,;:?\"'*%&#<>[]{}-_=/)"
+#: Signs that may as well be punctuation at the edges of a run.
+_MARKS = "!$|+("
 _OUTSIDE = re.compile(r"[\W\d_]+")
 
 
@@ -54,15 +55,13 @@ def plain(text: str) -> str:
 
 
 def disguised(text: str) -> list[str]:
-    """Runs that the channel may have changed, without signs at their edges."""
-    if not _HINT.search(text):
-        return []
-    runs = (m.group().strip(_EDGE).lower() for m in _DISGUISED.finditer(text))
-    return [r for r in runs if 3 <= len(r) <= 40 and not r.isalpha() or _TRIPLE.search(r)]
-
-
-_HINT = re.compile(rf"{_LETTER}[{_LEET}]|[{_LEET}]{_LETTER}|({_LETTER})\1\1|(?<!\w){_LETTER}[ ._*\-]{_LETTER}[ ._*\-]{_LETTER}(?!\w)")
-_TRIPLE = re.compile(rf"({_LETTER})\1\1")
+    """Runs that the channel may have changed; those with marks at their edges also without these."""
+    text = text.lower()
+    found = [t for t in dict.fromkeys(text.split()) if _SIGNED.search(t) or _REPEATED.search(t)]
+    found += [m.group() for m in _SPACED.finditer(text)]
+    whole = [r.strip(_EDGE) for r in found]
+    runs = dict.fromkeys([*whole, *(r.strip(_EDGE + _MARKS) for r in whole)])
+    return [r for r in runs if len(r) >= 3 and (_REPEATED.search(r) if r.isalpha() else any(map(str.isalpha, r)))]
 
 
 class Language:
@@ -82,28 +81,37 @@ class Language:
 
 
 def restore(run: str, language: Language) -> str:
-    """The cheapest spelling of a run through the lattice: signs, separators and repeats against the trigrams."""
-    states = {("  ", ""): (0.0, "")}  # (last two letters, last sign seen) -> cost, spelling
+    """The cheapest spelling of a run through the lattice: signs, separators and repeats against the trigrams.
+
+    A separator vanishes or ends a word, so a spelling may hold several words. Spellings are linked letters, so that a
+    long run costs no more a sign than a short one.
+    """
+    fresh = ("  ", "")
+    states: dict = {fresh: (0.0, None)}  # (last two letters, last sign seen) -> cost, spelling
     for c in run:
         new: dict = {}
 
-        def keep(key: tuple, cost: float, text: str, new: dict = new) -> None:
+        def keep(key: tuple, cost: float, text: tuple | None, new: dict = new) -> None:
             if key not in new or cost < new[key][0]:
                 new[key] = (cost, text)
 
+        options = [(x, SIGN_COST) for x in SIGNS.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [])
         for (context, last), (cost, text) in states.items():
-            if c in SEPARATORS:
-                keep((context, last), cost + SEPARATOR_COST, text)
-                continue
-            options = [(x, SIGN_COST) for x in SIGNS.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [])
             if not options:
-                keep((context, last), cost + 2.0, text)
+                keep((context, last), cost + (SEPARATOR_COST if c in SEPARATORS else 2.0), text)
+                if context != "  ":
+                    keep(fresh, cost + WORD_COST + language.cost(context, " "), (text, " "))
             for letter, extra in options:
-                keep((context[1] + letter, letter), cost + extra + language.cost(context, letter), text + letter)
+                keep((context[1] + letter, letter), cost + extra + language.cost(context, letter), (text, letter))
                 if letter == last:
                     keep((context, last), cost + REPEAT_COST, text)
         states = new
-    return min((cost + language.cost(context, " "), text) for (context, _), (cost, text) in states.items())[1] if states else ""
+    _, text = min(((cost + (language.cost(context, " ") if context != "  " else 0.0), text) for (context, _), (cost, text) in states.items()), key=lambda x: x[0])
+    out = []
+    while text:
+        text, letter = text
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 @dataclass
@@ -116,7 +124,8 @@ class Model:
 
     def scorer(self):
         language = Language(self.words)
-        spell = lru_cache(100_000)(lambda run: restore(run, language))
+        short = lru_cache(100_000)(lambda run: restore(run, language))
+        spell = lambda run: short(run) if len(run) <= 64 else restore(run, language)
         found = ahocorasick.Automaton()
         for e, p in self.entries.items():
             found.add_word(e, (e, p))
@@ -176,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
         totals = {bool(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
         if not totals.get(True):
             return Model()
-        words = counted(sample, lambda t: {w for w in plain(t).split() if 2 <= len(w) <= 20})
+        words = counted(sample, lambda t: {w for w in plain(t).split() if len(w) <= 20})
         heard = words.select("mark", (F.col("n0") + 3 * F.col("n1")).alias("n")).orderBy(F.desc("n"), "mark").limit(50_000).collect()
         heard = {r["mark"]: float(r["n"]) for r in heard}
         language = spark.sparkContext.broadcast(heard)  # 50,000 words at most
