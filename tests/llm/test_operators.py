@@ -324,7 +324,7 @@ def test_toxicity_learns_words_and_sees_through_disguise(spark, docs, nothing):
 
 def test_disguises_at_edges_in_long_runs_between_words_and_by_doubles():
     words = "you are a worthless idiot what loser stupid the of hello tree and is to in".split()
-    model = toxicity.Model({" idiot ": 0.9, " loser ": 0.9, " stupid ": 0.9}, 0.0, dict.fromkeys(words, 50.0))
+    model = toxicity.Model({" idiot ": 0.9, " loser ": 0.9, " stupid ": 0.9}, 0.0, 50 * toxicity.trigrams(" ".join(words)))
     of = model.scorer()
     for hidden in ("$tupid", "!diot", "|oser", "$tup1d", "1 d 1 0 t", "what a l o s e r", "y o u a r e a w o r t h l e s s i d i o t", "iddiioott", "you,1d10t", "lo$er" + " x1" * 50):
         assert of(hidden) >= 0.9, hidden
@@ -332,6 +332,20 @@ def test_disguises_at_edges_in_long_runs_between_words_and_by_doubles():
         assert of(fine) == 0.0, fine
 
 
+def test_character_model_counts_every_document(spark):
+    train, labels = labelled(spark, 60)
+    more = spark.createDataFrame([(9000 + i, t, None, None) for i, t in enumerate(["Zyxwé zy-q\tA", "", None, "日本 x1y"])], train.schema)
+    both = train.unionByName(more).repartition(3)
+    want = Counter()
+    for r in both.collect():
+        for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower()):
+            w = "".join({"é": "e"}.get(c, c if c in toxicity.LETTERS else "*") for c in w)
+            want.update(("  " + w + " ")[i : i + 3] for i in range(len(w) + 1))
+    got = toxicity.fit(both, labels).grams
+    n, place = len(toxicity.LETTERS), toxicity.LETTERS.index
+    assert {t: got[(place(t[0]) * n + place(t[1])) * n + place(t[2])] for t in want} == want and got.sum() == want.total()
+
+
 def test_quality_classifier_held_out(spark, docs, nothing):
     train, labels = labelled(spark)
     model = quality_classifier.fit(train, labels)

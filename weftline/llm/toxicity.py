@@ -2,11 +2,11 @@
 
 Words that look disguised (signs or digits beside letters, single letters with separators, repeated letters) become a
 lattice: each sign offers letters with a channel cost, repeats may vanish, separators vanish or end a word. Viterbi decoding under a
-character trigram model of the sample's words picks the spelling. Words and word beginnings that mark toxic rows of the
+character trigram model of all texts picks the spelling. Words and word beginnings that mark toxic rows of the
 sample form a lexicon (each new entry has to explain rows that earlier ones leave unexplained, so the rare words of
 copied documents do not enter). A text's score joins its distinct hits, plain or restored, as 1 - product(1 - p).
 
-The fit reads at most ``FIT_ROWS`` labelled rows outside the held-out fold; every text is scored whole, map-only.
+Labels come from at most ``FIT_ROWS`` rows outside the held-out fold; every text is scored whole, map-only.
 
 Defined results: null and empty texts get the score of a text without hits; a null id gives held_out null and stays;
 repeated rows each give a row; with no labelled rows every score is 0; further columns are ignored.
@@ -14,14 +14,16 @@ repeated rows each give a row; with no labelled rows every score is 0; further c
 
 from __future__ import annotations
 
-import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,20 +66,61 @@ def disguised(text: str) -> list[str]:
     return [r for r in runs if len(r) >= 3 and (_REPEATED.search(r) if r.isalpha() else any(map(str.isalpha, r)))]
 
 
+#: Alphabet of the character model: blank, a to z, any other letter. Accents do not count.
+LETTERS = " abcdefghijklmnopqrstuvwxyz*"
+
+
+@lru_cache(1)
+def letter_codes() -> np.ndarray:
+    """Place in ``LETTERS`` of every code point of lower-case text; what ``plain`` makes a blank is 0."""
+    out = np.zeros(sys.maxunicode + 1, np.int64)
+    for i in range(sys.maxunicode + 1):
+        c = chr(i)
+        if c.isalnum() and not c.isdecimal():
+            out[i] = max(LETTERS.find(unicodedata.normalize("NFKD", c)[0], 1) if i < 0x250 else 0, 0) or len(LETTERS) - 1
+    return out
+
+
+def trigrams(text: str) -> np.ndarray:
+    """How often each trigram of ``LETTERS`` ends at a letter of ``text`` or behind a word; words begin with two blanks."""
+    c = letter_codes()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+    c = c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])]  # one blank between words
+    before = c[1:-1]
+    two = np.where(before > 0, c[:-2], 0) * len(LETTERS) + before
+    first = c[1:2] if len(c) > 1 else c[:0]
+    return np.bincount(np.concatenate([first, two * len(LETTERS) + c[2:]]), minlength=len(LETTERS) ** 3)
+
+
 class Language:
-    """Character trigrams with additive smoothing over a word list."""
+    """Character trigrams with additive smoothing."""
 
-    def __init__(self, words: dict[str, float]):
-        self.three: Counter = Counter()
-        self.two: Counter = Counter()
-        for w, n in words.items():
-            padded = "  " + w + " "
-            for i in range(2, len(padded)):
-                self.three[padded[i - 2 : i + 1]] += n
-                self.two[padded[i - 2 : i]] += n
+    def __init__(self, grams: np.ndarray):
+        n = len(LETTERS)
+        three = np.asarray(grams, float).reshape(n, n, n)
+        self.costs = (-np.log((three + 0.05) / (three.sum(2, keepdims=True) + 2.0))).ravel().tolist()
+        self.code = letter_codes()
 
     def cost(self, context: str, letter: str) -> float:
-        return -math.log((self.three.get(context + letter, 0) + 0.05) / (self.two.get(context, 0) + 2.0))
+        a, b, c = (int(self.code[ord(x)]) for x in context + letter)
+        return self.costs[(a * len(LETTERS) + b) * len(LETTERS) + c]
+
+
+def counted_trigrams(docs: DataFrame) -> np.ndarray:
+    """Trigrams of all texts; partitions count first and give a row per trigram of the alphabet at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(LETTERS) ** 3, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                total += trigrams(" ".join(part.column("text").to_pylist()))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["gram", "n"])
+
+    got = texts(docs).select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(LETTERS) ** 3, np.int64)
+    for r in got.collect():  # bounded by the alphabet
+        out[r["gram"]] = r["n"]
+    return out
 
 
 def restore(run: str, language: Language) -> str:
@@ -120,10 +163,10 @@ class Model:
 
     entries: dict[str, float] = field(default_factory=dict)
     base: float = 0.0
-    words: dict[str, float] = field(default_factory=dict)
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(len(LETTERS) ** 3, np.int64))
 
     def scorer(self):
-        language = Language(self.words)
+        language = Language(self.grams)
         short = lru_cache(100_000)(lambda run: restore(run, language))
         spell = lambda run: short(run) if len(run) <= 64 else restore(run, language)
         found = ahocorasick.Automaton()
@@ -178,17 +221,15 @@ def counted(sample: DataFrame, each, keep: set[str] | None = None, limit: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
-    """Character model and lexicon from a bounded sample of labelled rows."""
+    """Character model from all texts, lexicon from a bounded sample of labelled rows."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, limit)
     try:
         totals = {bool(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
         if not totals.get(True):
             return Model()
-        words = counted(sample, lambda t: {w for w in plain(t).split() if len(w) <= 20})
-        heard = words.select("mark", (F.col("n0") + 3 * F.col("n1")).alias("n")).orderBy(F.desc("n"), "mark").limit(50_000).collect()
-        heard = {r["mark"]: float(r["n"]) for r in heard}
-        language = spark.sparkContext.broadcast(heard)  # 50,000 words at most
+        grams = counted_trigrams(docs)
+        language = spark.sparkContext.broadcast(grams)  # bounded by the alphabet
 
         def seen(text: str, held: dict = {}) -> set[str]:  # noqa: B006  one model for each worker
             if "m" not in held:
@@ -209,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
         rows = [set(r["marks"]) for r in sample.where("label = 1").select("text").mapInArrow(holds, "marks array<string>").collect()]  # of the sample
         chosen = lexicon(rows, share)
         unexplained = sum(not (r & chosen) for r in rows)
-        return Model({e: share[e] for e in sorted(chosen)}, unexplained / (unexplained + totals.get(False, 0) + 1), heard)
+        return Model({e: share[e] for e in sorted(chosen)}, unexplained / (unexplained + totals.get(False, 0) + 1), grams)
     finally:
         drop_written(sample)
 
