@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and the awkward inputs: nulls, empty, long, repeated, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -346,6 +347,20 @@ def test_character_model_counts_every_document(spark):
     assert {t: got[(place(t[0]) * n + place(t[1])) * n + place(t[2])] for t in want} == want and got.sum() == want.total()
 
 
+def test_a_rare_insult_is_found_among_many_common_marks(spark):
+    common = ["".join(p) for p in itertools.islice(itertools.product("abcdefghij", repeat=5), 0, 100_000, 15)]  # 20,000 marks and more
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    data = [(i, " ".join(common) + (" zounder" if i in kept[1:7:2] else ""), i % 2) for i in kept]
+    toxic = {i: int(i in kept[1:7:2] or k % 3 == 0) for k, i in enumerate(kept)}
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int")
+    old, toxicity.MIN_PURITY = toxicity.MIN_PURITY, 0.7  # three rows
+    try:
+        assert any("zoun" in e for e in toxicity.fit(docs, labels).entries)
+    finally:
+        toxicity.MIN_PURITY = old
+
+
 def test_quality_classifier_held_out(spark, docs, nothing):
     train, labels = labelled(spark)
     model = quality_classifier.fit(train, labels)

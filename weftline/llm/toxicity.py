@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from heapq import heapify, heappop, heapreplace
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,7 @@ MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 SIGN_COST, REPEAT_COST, SEPARATOR_COST, WORD_COST = 1.0, 0.5, 0.1, 1.0
 SEPARATORS = " ._*-"
-MIN_SUPPORT, MIN_PURITY, MAX_CANDIDATES = 3, 0.8, 4000
+MIN_SUPPORT, MIN_PURITY = 3, 0.8
 PREFIXES = range(4, 9)
 
 _LETTER = r"[^\W\d_]"
@@ -196,7 +197,7 @@ def marks(text: str) -> set[str]:
     return out
 
 
-def counted(sample: DataFrame, each, keep: set[str] | None = None, limit: int = 200_000) -> DataFrame:
+def counted(sample: DataFrame, each, limit: int = 200_000) -> DataFrame:
     """For each mark that ``each(text)`` gives: toxic and other rows with it; partitions count first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +211,7 @@ def counted(sample: DataFrame, each, keep: set[str] | None = None, limit: int =
         for batch in batches:
             for part in slices(batch):
                 for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
-                    found = each(text)
-                    counts[bool(label)].update(found if keep is None else found & keep)
+                    counts[bool(label)].update(each(text))
                 if len(counts[0]) + len(counts[1]) > limit:
                     yield from out()
         yield from out()
@@ -236,10 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
                 held["m"] = Language(language.value)
             return marks(" ".join([text, *(restore(r, held["m"]) for r in disguised(text))]))
 
-        toxic = counted(sample.where("label = 1"), seen).where(F.col("n1") >= MIN_SUPPORT)
-        first = {r["mark"] for r in toxic.orderBy(F.desc("n1"), "mark").limit(5 * MAX_CANDIDATES).collect()}
-        pure = counted(sample, seen, first).where(F.col("n1") >= MIN_PURITY * (F.col("n1") + F.col("n0") + 1)).orderBy(F.desc("n1"), "mark").limit(MAX_CANDIDATES)
-        share = {r["mark"]: r["n1"] / (r["n1"] + r["n0"] + 1) for r in pure.collect()}
+        pure = counted(sample, seen).where((F.col("n1") >= MIN_SUPPORT) & (F.col("n1") >= MIN_PURITY * (F.col("n1") + F.col("n0") + 1)))
+        share = {r["mark"]: r["n1"] / (r["n1"] + r["n0"] + 1) for r in pure.collect()}  # bounded by the sample
 
         def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -264,8 +262,15 @@ def lexicon(rows: list[set[str]], share: dict[str, float]) -> set[str]:
             where[e].append(i)
     gain = {e: float(len(w)) for e, w in where.items()}
     chosen: set[str] = set()
-    while gain:
-        best = min(gain, key=lambda e: (-round(gain[e] * share[e] ** 4, 6), len(e), e))
+    key = lambda e: (-round(gain[e] * share[e] ** 4, 6), len(e), e)
+    heap = [key(e) for e in gain]
+    heapify(heap)
+    while heap:
+        best = heap[0][2]
+        if key(best) != heap[0]:  # gains only fall, so an old key is never too late
+            heapreplace(heap, key(best))
+            continue
+        heappop(heap)
         if gain.pop(best) < MIN_SUPPORT - 0.5:
             break
         chosen.add(best)
