@@ -211,6 +211,23 @@ def test_quality_rules_reject_outliers_and_keep_the_rest(spark):
         quality_rules.BROADCAST_GROUPS = old
 
 
+def test_quality_rules_judge_small_groups_by_their_language_or_all_rows(spark):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) + str(rng.randrange(400)) for _ in range(n))
+    marked = lambda: " ".join(w + "%%%$$$" for w in prose(100).split())
+    data = [(i, prose(rng.randrange(60, 400)), "en", f"s{i % 10}") for i in range(200)]  # 20 rows a source
+    data += [(200 + i, prose(rng.randrange(60, 400)), "de", f"s{i % 10}") for i in range(20)]  # a small language
+    data += [(1000 + i, marked(), lang, "s1") for i, lang in enumerate(["en", "en", "de"])]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality(df).collect()}
+    assert all(got[i] for i in range(220)) and not any(got[1000 + i] for i in range(3))
+    old, quality_rules.BROADCAST_GROUPS = quality_rules.BROADCAST_GROUPS, 0
+    try:
+        assert {r["doc_id"] for r in quality_rules.passing(df).collect()} == {i for i, k in got.items() if k}
+    finally:
+        quality_rules.BROADCAST_GROUPS = old
+
+
 def test_secrets(docs, nothing):
     got = secrets.digest(secrets.find_secrets(docs)).collect()
     base = re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

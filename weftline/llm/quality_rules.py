@@ -11,7 +11,8 @@ not depend on the partitioning; so one group may hold any share of the rows. Gro
 up to ``BROADCAST_GROUPS`` groups, beyond that by a salted join. Texts are read once and never shuffled.
 
 Defined results: null and empty texts have all counts 0 and fail the base rule; null lang or source is a group of its
-own; groups under ``LEAST_ROWS`` rows that pass the base rule reject nothing; a null id stays null; repeated rows each
+own; groups under ``LEAST_ROWS`` rows that pass the base rule are judged by their language's rows or by all rows, and
+tables under ``LEAST_ROWS`` such rows reject nothing; a null id stays null; repeated rows each
 give a row; an empty table gives an empty table; further columns are ignored. Windows of three words are compared
 by 64-bit hashes of their words within one text.
 """
@@ -115,6 +116,8 @@ def counted(df: DataFrame) -> DataFrame:
 
 
 KEY = ["q_lang", "q_source"]
+#: Stands for any language or source; values themselves begin with "=" or are empty.
+POOLED = "*"
 
 
 def attach(df: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
@@ -200,9 +203,30 @@ def step(stats: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     return out
 
 
+def pools(stats: DataFrame) -> DataFrame:
+    """For each (lang, source): the group that judges it (to) and the groups that its passing rows inform (into).
+
+    A group of ``LEAST_ROWS`` passing rows judges itself, a smaller one is judged by all rows of its language, or of the
+    whole table where the language is small too; ``to`` is null where the table is.
+    """
+    rows = lambda name: F.sum("n").alias(name)
+    sizes = written(stats.groupBy(*KEY).agg(F.sum(F.when(F.col("q_base_failed"), 0).otherwise(1)).alias("n")), "sizes")
+    langs = sizes.groupBy("q_lang").agg(rows("in_lang"), F.min("n").alias("least"))
+    total = langs.agg(F.sum("in_lang").alias("in_all"), F.min("in_lang").alias("least_lang"))
+    group = lambda lang, source: F.struct(lang.alias("q_lang"), source.alias("q_source"))
+    own, lang, every = group(F.col("q_lang"), F.col("q_source")), group(F.col("q_lang"), F.lit(POOLED)), group(F.lit(POOLED), F.lit(POOLED))
+    enough = lambda c: F.col(c) >= LEAST_ROWS
+    to = F.when(enough("n"), own).when(enough("in_lang"), lang).when(enough("in_all"), every)
+    into = F.array(F.when(enough("n"), own), F.when(enough("in_lang") & ~enough("least"), lang), F.when(enough("in_all") & ~enough("least_lang"), every))
+    return sizes.join(langs, "q_lang").crossJoin(F.broadcast(total)).select(*KEY, to.alias("to"), F.array_compact(into).alias("into"))
+
+
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     """Group estimates (q_m, q_l and the scale of distances) from rows that pass the base rule, and their number."""
-    good = stats.where(~F.col("q_base_failed"))
+    plan = written(pools(stats), "pools")
+    n_plan = plan.count()
+    good = attach(stats.where(~F.col("q_base_failed")), plan.select(*KEY, "into"), n_plan)
+    good = good.withColumn("into", F.explode("into")).withColumns({k: F.col(f"into.{k}") for k in KEY}).drop("into")
     groups = written(start(good), "estimates")
     n_groups = groups.count()
     for _ in range(STEPS):
@@ -212,9 +236,12 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     bins = with_bins(good, groups, n_groups).groupBy(*KEY, "bin").agg(F.count("*").alias("n"))
     middle = quantiles(bins, KEY, {"mid": 0.5})
     scale = (F.expm1((F.col("mid") + 0.5) / DISTANCE_BINS) / CHI_MEDIAN).alias("q_scale")
-    out = written(groups.join(middle.select(*KEY, scale), KEY), "estimates")
+    each = plan.select(*KEY, F.struct(*[F.col(f"to.{k}").alias(k) for k in KEY]).alias("to"))
+    made = groups.join(middle.select(*KEY, scale), KEY).select(F.struct(*KEY).alias("to"), "q_m", "q_l", "q_scale")
+    out = written(each.join(made, "to").drop("to"), "estimates")
     drop_written(groups)
-    return out, n_groups
+    drop_written(plan)
+    return out, n_plan
 
 
 def judged(stats: DataFrame, model: tuple[DataFrame, int], cutoff: float = CUTOFF) -> DataFrame:
