@@ -4,7 +4,7 @@ The fixed kinds (assign, access, hex) are found by pattern and kept as they are.
 signs; each belongs to a character class (hex, base36, base64). A window slides over the candidate with counts kept
 up to date sign by sign, so that its Shannon entropy changes by two terms a step; a candidate whose highest window
 entropy reaches its class's bound becomes a span, unless the allow list (words, paths, identifiers, runs of one sign,
-UUIDs, placeholders) suppresses it or a fixed span already covers it.
+UUIDs, placeholders) suppresses it. Of a candidate that fixed spans overlap, the parts beside them are scored.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; a null id stays null;
 repeated rows each give a row; an empty table gives an empty table; further columns are ignored.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +31,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
+#: Signs that join a part of a candidate to the fixed span beside it.
+JOINERS = "-_/"
 #: Least window entropy in bits by class; a window of 20 signs has log2(20) = 4.32 at most.
 CLASSES = ((re.compile(r"[0-9a-fA-F]+\Z"), 3.0), (re.compile(r"[A-Z0-9]+\Z|[a-z0-9]+\Z"), 3.5), (re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 3.8))
 ALLOWED = re.compile(
@@ -80,14 +81,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of high entropy that no fixed span overlaps."""
-    out, i = [], 0
-    ends = list(accumulate((b for _, _, b in base), max))  # base is sorted by start
+    """Candidates of high entropy; of one that fixed spans overlap, the parts beside them, each scored by itself."""
+    out, i, at = [], 0, 0  # base is sorted by start; fixed spans so far end at ``at``
     for m in CANDIDATE.finditer(text):
-        while i < len(base) and base[i][0] < m.end():
+        begin, end = m.span()
+        parts = []
+        while i < len(base) and base[i][0] < end:
+            parts.append((max(begin, at), base[i][0]))
+            at = max(at, base[i][2])
             i += 1
-        if (not i or ends[i - 1] <= m.start()) and is_secret(m.group()):
-            out.append((m.start(), 3, m.end()))
+        parts.append((max(begin, at), end))
+        for a, b in parts:
+            if b - a < WINDOW:
+                continue
+            a += a > begin and text[a] in JOINERS
+            b -= b < end and text[b - 1] in JOINERS
+            if b - a >= WINDOW and is_secret(text[a:b]):
+                out.append((a, 3, b))
     return out
 
 
