@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import weftline.streaming as streaming
 from weftline.functions import arithmetic, languages, numbers, text
 from weftline.operators import batches, checks, measure, prompts, records, scoring
+from weftline.plans import catalog
 from weftline.sources import config, conversion, manifests
 
 
@@ -257,3 +258,12 @@ def test_cache_and_copied_bins(spark):
     cfg = spark.createDataFrame([("t", [1.0, 5.0], [1.0, 2.0])], "split string, bins array<double>, expected array<double>")
     others = spark.createDataFrame([("o", [1.0, 5.0])], "name string, bins array<double>")
     assert [r["message"] for r in checks.copied_bins(cfg, others).collect()] == ["also in o"]
+
+
+def test_diacritics_normalizer_counts_clusters_of_whole_texts(spark, tmp_path):
+    letters = ["é", "a", "한", "\U0001f1e9\U0001f1ea", "ñ"]  # each one cluster
+    data = [(n, "".join(letters[i % 5] for i in range(n))) for n in (0, 3, 150, 201, 2000)] + [(9, None)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["clusters"] for r in catalog.diacritics_normalizer(spark, str(tmp_path)).collect()}
+    want = {n: None if t is None else len(" ".join(letters[i % 5] for i in range(n))) for n, t in data}
+    assert got == want

@@ -276,7 +276,7 @@ def basic_normalizer(spark, sf_dir):
 def diacritics_normalizer(spark, sf_dir):
     """X2 X3."""
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(text.without_diacritics("text")).alias("plain"), F.length(text.spaced_letters(F.substring("text", 1, 200))).alias("clusters"))
+    return d.select("doc_id", F.md5(text.without_diacritics("text")).alias("plain"), F.length(text.spaced_letters(F.col("text"))).alias("clusters"))
 
 
 @query()
