@@ -3,8 +3,9 @@
 The counts of a text give a vector of transformed statistics. For each (lang, source) a minimum-covariance-determinant
 estimate is found by concentration steps: start at medians and quartile ranges, then repeatedly take the ``CORE`` share
 of rows with least Mahalanobis distance and estimate mean and covariance from them. A ridge keeps the covariance
-regular where most rows agree in a statistic. A document is rejected if its squared distance, scaled so that the
-group's median is that of a chi-square, exceeds ``CUTOFF``.
+regular where most rows agree in a statistic. A document is rejected if its squared distance exceeds ``CUTOFF``. The
+distance is divided by the group's scale (its median over that of a chi-square) where this is above 1 only: the ridge
+mostly holds it far below, and then distances stay in units of the ridged covariance.
 
 Quantiles come from fine histograms (group, bin, count), which combine before the shuffle, are exact to a bin and do
 not depend on the partitioning; so one group may hold any share of the rows. Group estimates are joined by broadcast
@@ -245,7 +246,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
 
 
 def judged(stats: DataFrame, model: tuple[DataFrame, int], cutoff: float = CUTOFF) -> DataFrame:
-    """Adds q_d2 (scaled) and q_kept."""
+    """Adds q_d2 (scaled where the scale is above 1) and q_kept."""
     near = distance(attach(stats, *model))
     d2 = F.col("q_d2") / F.greatest(F.col("q_scale"), F.lit(1.0))
     return near.withColumn("q_d2", d2).withColumn("q_kept", ~F.col("q_base_failed") & ~F.coalesce(F.col("q_d2") > cutoff, F.lit(False)))
@@ -258,7 +259,7 @@ def statistics_table(df: DataFrame) -> DataFrame:
 
 
 def quality(df: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and the scaled squared distance d2 of every row."""
+    """doc_id, the counts, base_failed, kept and the squared distance d2 of ``judged`` of every row."""
     stats = statistics_table(df)
     got = judged(stats, fit(stats))
     return got.select("doc_id", *[F.col(f"q_{c}").cast("long").alias(c) for c in COUNTS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_d2").alias("d2"))
