@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: folders, inputs, Arrow output and the chunk cache."""
+"""Helpers shared by the language-model operators: folders, inputs, Arrow output and the chunk cache."""
 
 from __future__ import annotations
 
