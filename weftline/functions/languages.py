@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.text import stripped
+
 # Locale tags that fold to a base language (looked up in lower case).
 LOCALES = {
     "de_de": "de", "en_us": "en", "es_419": "es", "fr_fr": "fr", "it_it": "it", "pt_br": "pt",
@@ -55,8 +57,8 @@ def base_language(code: Column) -> Column:
 
 
 def known(value: Column) -> Column:
-    """Trimmed text; null or blank becomes 'unknown'."""
-    text = F.trim(value)
+    """Text without white space at its ends; null or blank becomes 'unknown'."""
+    text = stripped(value)
     return F.when(text.isNull() | (text == ""), "unknown").otherwise(text)
 
 

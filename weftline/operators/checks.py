@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import stripped
+
 #: Checks that fail a configuration; all others warn.
 HARD = ("W1", "W2", "W3", "W4", "N1", "N2", "H1", "H2", "H3", "B1", "B2", "B3")
 RANKS = {"FAIL": 3, "WARN": 2, "SKIP": 1, "OK": 0}
@@ -87,7 +89,7 @@ def tag_conflicts(leaves: DataFrame) -> DataFrame:
 
 def missing_languages(leaves: DataFrame) -> DataFrame:
     """Asr needs a language, st both sides."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: F.coalesce(stripped(F.col(c)), F.lit("")) == ""
     bad = ((F.col("task") == "asr") & blank("lang")) | ((F.col("task") == "st") & (blank("src_lang") | blank("tgt_lang")))
     return finding(leaves.where(bad), "T2", F.col("source"), F.lit("language missing"))
 
@@ -159,7 +161,7 @@ def text_probe(leaves: DataFrame, first: DataFrame) -> DataFrame:
         if f not in (None, "", "text"):
             value = F.when(F.col("text_field") == f, resolved_text(F.col("custom"), f.removeprefix("custom."), F.lit(None).cast("string"), True)).otherwise(value)
     named = ~F.coalesce(F.col("text_field"), F.lit("")).isin("", "text")
-    blank = F.coalesce(F.trim("supervision_text"), F.lit("")) == ""
+    blank = F.coalesce(stripped(F.col("supervision_text")), F.lit("")) == ""
     punctuated = F.get_json_object("custom", "$.pnc_text")
     message = (
         F.when(named & value.isNull(), F.concat(F.lit("does not resolve: "), F.col("text_field")))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.text import stripped
 from weftline.sources import manifests
 
 
@@ -65,7 +66,7 @@ def punctuated(custom: Column) -> Column:
 
 def joined_text(supervisions: Column) -> Column:
     """All supervision texts, first to last, by blanks; null if nothing is left."""
-    return F.nullif(F.trim(F.array_join(F.filter(F.transform(supervisions, lambda s: F.trim(s["text"])), lambda t: t != ""), " ")), F.lit(""))
+    return F.nullif(F.array_join(F.filter(F.transform(supervisions, lambda s: stripped(s["text"])), lambda t: t != ""), " "), F.lit(""))
 
 
 def scored_rows(df: DataFrame, score: str, factor: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.functions.text import word_count
+from weftline.functions.text import stripped, word_count
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,11 @@ def merged_tags(own: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(new, k)), new)
 
 
+def usable(text: Column) -> Column:
+    """Stripped text, null where nothing is left."""
+    return F.nullif(stripped(text), F.lit(""))
+
+
 def resolved_text(custom: Column, path: str | None, fallback: Column, strict: bool = False) -> Column:
     """Text of a record by field.
 
@@ -81,16 +86,15 @@ def resolved_text(custom: Column, path: str | None, fallback: Column, strict: bo
     falls back; a blank one ends as null.
     """
     if path in (None, "", "text"):
-        return F.nullif(F.trim(fallback), F.lit(""))
+        return usable(fallback)
     found = F.coalesce(F.get_json_object(custom, "$." + path), F.get_json_object(custom, f"$['{path}']"))
-    blank = F.nullif(F.trim(found), F.lit(""))
-    return blank if strict else F.when(found.isNotNull(), blank).otherwise(F.nullif(F.trim(fallback), F.lit("")))
+    blank = usable(found)
+    return blank if strict else F.when(found.isNotNull(), blank).otherwise(usable(fallback))
 
 
 def strict_violations(df: DataFrame, custom: Column, path: str, fallback: Column) -> DataFrame:
     """Rows whose field is null or blank although a fallback exists."""
-    usable = F.nullif(F.trim(fallback), F.lit("")).isNotNull()
-    return df.where(resolved_text(custom, path, fallback, strict=True).isNull() & usable)
+    return df.where(resolved_text(custom, path, fallback, strict=True).isNull() & usable(fallback).isNotNull())
 
 
 def spoken_language(tags: Column, first: Column, task: Column) -> Column:
@@ -99,9 +103,9 @@ def spoken_language(tags: Column, first: Column, task: Column) -> Column:
     return F.when(task.isin("st", "translate"), F.coalesce(F.nullif(tags["tgt_lang"], F.lit("")), own)).otherwise(own)
 
 
-def training_text(text: Column, task: Column) -> Column:
+def lowered_text(text: Column, task: Column) -> Column:
     """Stripped and lower-cased, but for quality estimation."""
-    return F.when(task == "speechqe", text).otherwise(F.lower(F.trim(text)))
+    return F.when(task == "speechqe", text).otherwise(F.lower(stripped(text)))
 
 
 def normalised_score(score: Column, factor: Column | None = None) -> Column:

@@ -1,4 +1,4 @@
-"""Training schedules: seeds, coverage, resumable positions, chunks and retries."""
+"""Schedules of runs: seeds, coverage, resumable positions, chunks and retries."""
 
 from __future__ import annotations
 

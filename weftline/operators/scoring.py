@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import basic_normalised, long_char_edits, word_edits, words
+from weftline.functions.text import basic_normalised, long_char_edits, stripped, word_edits, words
 
 
 def edits(df: DataFrame, reference: str = "reference", prediction: str = "prediction", normalise: bool = True) -> DataFrame:
@@ -28,7 +28,7 @@ def rate(part: Column, whole: Column) -> Column:
 
 def error_rates(scored: DataFrame, by: list[str]) -> DataFrame:
     """Corpus-level rates by bucket; blank codes count as 'unknown'."""
-    keys = [F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unknown")).alias(c) for c in by]
+    keys = [F.coalesce(F.nullif(stripped(F.col(c)), F.lit("")), F.lit("unknown")).alias(c) for c in by]
     return scored.groupBy(*keys).agg(
         F.count("*").alias("samples"), rate(F.col("word_edits"), F.col("ref_words")).alias("wer"), rate(F.col("char_edits"), F.col("ref_chars")).alias("cer")
     )

@@ -55,9 +55,9 @@ def read_manifests(spark: SparkSession, sources: list[str], corrupt: str = "skip
 
 
 def read_cuts_file(spark: SparkSession, path: str, mode: str = "measure") -> DataFrame:
-    """A single cuts file; the training loader refuses this kind of source."""
+    """A single cuts file; the loader of runs refuses this kind of source."""
     if mode == "train":
-        raise ValueError("a cuts file is no training source")
+        raise ValueError("a cuts file is no source of a run")
     return spark.read.schema(MANIFEST).option("columnNameOfCorruptRecord", "_corrupt").json(path).where(VALID).drop("_corrupt")
 
 
@@ -79,7 +79,7 @@ def read_emissions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, metrics: tuple = ("loss", "grad_norm", "learning_rate", "eval_loss")) -> DataFrame:
-    """(step, metric, value) of a trainer state; a later entry wins."""
+    """(step, metric, value) of a run's state; a later entry wins."""
     df = spark.read.option("multiLine", True).json(path).select(F.posexplode("log_history").alias("pos", "e"))
     have = [m for m in metrics if m in df.schema["e"].dataType.names]
     long = df.select("pos", F.col("e.step").alias("step"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"e.{m}").cast("double").alias("value")) for m in have])).alias("x"))
