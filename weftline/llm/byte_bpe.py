@@ -7,7 +7,14 @@ non-overlapping occurrences of their minimum pair in one round, which gives the
 new token ranks lower (checked per rank; else the leftmost alone goes). An ordered aggregation over the ids joined
 with the vocabulary decodes.
 
-Rounds are few because words are short; the cache of distinct chunks is bounded and lives in the Python worker.
+Words over ``WHOLE`` bytes are contracted as pieces of ``PIECE`` bytes that overlap by half, all in one query, so that
+rounds do not grow with the word. Two neighbours are joined at a token which both have in their overlap; those
+without one become one larger piece, until all are joined. This is exact where ranks never fall while any token of
+the vocabulary is made by itself (checked once; else the word stays whole): merges then run rank by rank, so that a
+row of tokens whose neighbours all stand side by side in the contraction of some stretch is that of the whole.
+
+Rounds are few because words and pieces are short; the cache of distinct chunks is bounded by entries and bytes and
+lives in the Python worker.
 
 Defined results: null and empty texts have no ids and decode to no bytes; special strings are ordinary text; a null
 id stays null; repeated rows each give a row; an empty table gives an empty table; further columns are ignored.
@@ -18,7 +25,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import duckdb
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from weftline.llm.common import ChunkCache, gather, group_sums, slices, texts
 
-LONG = 64
+LONG, WHOLE, PIECE = 64, 256, 64
 #: Characters with the Unicode property White_Space, as the pattern's ``\s`` reads them.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -69,7 +76,8 @@ with recursive step(done, w, p, t) as (
 )
 select p, t from step where done
 """
-DECODE = "select string_agg(v.s, '' order by i.p) as s from ids i join vocab v on v.t = i.t group by i.d order by i.d"
+# string_agg depends on the order of its input, which the engine keeps
+DECODE = "select string_agg(s, '') as s from (select i.d, v.s from ids i join vocab v on v.t = i.t order by i.p) group by d order by d"
 
 
 @cache
@@ -82,7 +90,7 @@ class Codec:
     """One vocabulary in one in-memory DuckDB database."""
 
     def __init__(self, path: str, pattern: str):
-        known = ranks(path)
+        self.known = known = ranks(path)
         self.fine = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
         self.byte = np.array([known[bytes([b])] for b in range(256)], np.int64)
         rows, unsafe = [], set()
@@ -104,11 +112,45 @@ class Codec:
         self.con.execute(f"create table {name} as select * from given")
         self.con.unregister("given")
 
+    @cached_property
+    def regular(self) -> bool:
+        """Whether the ranks of successive merges never fall while a token is made from its bytes alone."""
+        for token in self.known:
+            parts, last = [bytes([b]) for b in token], -1
+            while len(parts) > 1:
+                rank, i = min((self.known.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == 1 << 30:
+                    break
+                if rank < last:
+                    return False
+                parts[i : i + 2], last = [parts[i] + parts[i + 1]], rank
+        return True
+
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, by the recursive query, and how many each word has."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        first, count, parts, done = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
-        for query, some in ((CONTRACT, np.flatnonzero(size <= LONG)), (CONTRACT_LONG, np.flatnonzero(size > LONG))):
+        apart = np.flatnonzero(size > WHOLE).tolist()
+        if not apart or not self.regular:
+            flat, _, count = self.contracted(words)
+            return flat, count
+        short = np.flatnonzero(size <= WHOLE)
+        flat, _, n = self.contracted([words[i] for i in short])
+        parts, count = [flat], np.zeros(len(words), np.int64)
+        first = np.zeros(len(words), np.int64)
+        count[short], first[short], done = n, np.cumsum(n) - n, len(flat)
+        for i in apart:
+            ids = self.pieced(words[i])
+            parts.append(ids)
+            count[i], first[i], done = len(ids), done, done + len(ids)
+        return gather(np.concatenate(parts), first, count), count
+
+    def contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in a row, the byte at which each begins in its word, and how many each word has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first, count, parts, places, done = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], [], 0
+        by_size = np.argsort(size, kind="stable")  # words of a block take about as many rounds
+        edge = np.searchsorted(size[by_size], LONG, side="right")
+        for query, some in ((CONTRACT, by_size[:edge]), (CONTRACT_LONG, by_size[edge:])):
             for at in range(0, len(some), 20_000):
                 block = some[at : at + 20_000]
                 raw = np.frombuffer(b"".join([words[i] for i in block]), np.uint8)
@@ -118,12 +160,43 @@ class Codec:
                 self.con.register("sym", pa.table({"w": word, "p": place, "t": self.byte[raw], "nx": nx}))
                 got = self.con.sql(query).to_arrow_table()
                 p, t = got.column("p").to_numpy(), got.column("t").to_numpy()
-                parts.append(t[np.argsort(p)].astype(np.int32))  # places run on over the words
+                order = np.argsort(p)  # places run on over the words
+                parts.append(t[order].astype(np.int32))
+                p = p[order]
+                places.append((p - (np.cumsum(size[block]) - size[block])[word[p]]).astype(np.int32))
                 count[block] = n = np.bincount(word[p], minlength=len(block))
                 first[block] = done + np.cumsum(n) - n
                 done += len(t)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return gather(flat, first, count), count
+        flat, begin = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (parts, places))
+        return gather(flat, first, count), gather(begin, first, count), count
+
+    def pieced(self, word: bytes) -> np.ndarray:
+        """Ids of one long word from overlapping pieces."""
+        half = PIECE // 2
+        spans = [(a, min(a + PIECE, len(word))) for a in range(0, len(word) - half, half)]
+        made: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        while True:
+            todo = [s for s in spans if s not in made]
+            flat, begin, n = self.contracted([word[a:b] for a, b in todo])
+            for span, ids, at in zip(todo, np.split(flat, np.cumsum(n)[:-1]), np.split(begin, np.cumsum(n)[:-1]), strict=True):
+                made[span] = ids, at.astype(np.int64) + span[0]
+            ends, out, joined = [], [], [spans[0]]
+            for left, right in zip(spans, spans[1:], strict=False):
+                tokens = lambda s: zip(made[s][1].tolist(), [*made[s][1][1:].tolist(), s[1]], strict=True)
+                mine = {t for t in tokens(left) if t[0] >= right[0]}
+                shared = next((t for t in tokens(right) if t in mine), None)
+                if shared is None:
+                    joined[-1] = joined[-1][0], right[1]
+                else:
+                    joined.append(right)
+                    ends.append(shared[1])
+            if len(joined) == len(spans):
+                break
+            spans = joined
+        for span, a, b in zip(spans, [0, *ends], [*ends, len(word)], strict=True):
+            ids, at = made[span]
+            out.append(ids[(at >= a) & (at < b)])
+        return np.concatenate(out)
 
     def resolve(self, unseen: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of coarse chunks (an optional blank and what stands up to the next white space), match by match."""

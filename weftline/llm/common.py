@@ -19,29 +19,59 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
+_MADE: list[DataFrame] = []
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors.
+
+    The table goes when ``drop_written`` or ``drop_since`` names it, at the latest when Spark ends; one at a ``path`` of
+    the caller's stays.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weftline_path = path
+    to = path or f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    out = spark.read.schema(df.schema).parquet(to)
+    out._weftline_path = to
+    if path is None:
+        fs, at = _file_system(spark, to)
+        fs.deleteOnExit(at)
+        _MADE.append(out)
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a ``written`` table that no later step reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._weftline_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, at = _file_system(df.sparkSession, df._weftline_path)
+    fs.delete(at, True)
+    _MADE[:] = [x for x in _MADE if x is not df]
+
+
+def mark_written() -> int:
+    """A place in the list of tables for ``drop_since``."""
+    return len(_MADE)
+
+
+def drop_since(mark: int, but: DataFrame) -> None:
+    """Delete the tables written since ``mark``, except ``but``, which must not depend on them."""
+    for df in _MADE[mark:]:
+        if df is not but:
+            drop_written(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,24 +112,27 @@ def chunks(text: str) -> list[str]:
 class ChunkCache:
     """Ids of distinct chunks, kept across the batches of one Python worker under a fixed bound.
 
-    ``resolve`` maps unseen chunks to lists of ids, or to all ids in a row and how many each chunk has. Past ``limit`` entries, those seen only once go, so that the
-    memory does not grow with the input.
+    ``resolve`` maps unseen chunks to lists of ids, or to all ids in a row and how many each chunk has. Past ``limit``
+    entries or ``weight`` signs and ids, those seen only once go and the commonest stay up to half of either bound, so
+    that the memory does not grow with the input; between two prunings one slice of texts is added at most.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], resolve: Callable[[list[str]], Iterable], limit: int = 300_000):
-        self.split, self.resolve, self.limit = split, resolve, limit
+    def __init__(self, split: Callable[[str], list[str]], resolve: Callable[[list[str]], Iterable], limit: int = 300_000, weight: int = 32 << 20):
+        self.split, self.resolve, self.limit, self.weight = split, resolve, limit, weight
         self._reset()
 
     def _reset(self) -> None:
         self.code: dict[str, int] = {}
+        self.signs = 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size, self.seen = (np.zeros(0, np.int64) for _ in range(3))
 
     def _shrink(self) -> None:
         names = list(self.code)
         keep = np.flatnonzero(self.seen > 1)
-        if len(keep) > self.limit // 2:
-            keep = keep[np.argsort(-self.seen[keep], kind="stable")[: self.limit // 2]]
+        keep = keep[np.argsort(-self.seen[keep], kind="stable")[: self.limit // 2]]
+        heavy = np.cumsum([len(names[k]) for k in keep]) + np.cumsum(self.size[keep])
+        keep = keep[: np.searchsorted(heavy, self.weight // 2, side="right")]
         ids = gather(self.flat, self.start[keep], self.size[keep]), self.size[keep]
         names, seen = [names[k] for k in keep], self.seen[keep] // 2
         self._reset()
@@ -118,13 +151,14 @@ class ChunkCache:
         self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
+        self.signs += sum(map(len, names))
         base = len(self.code)
         self.code.update(zip(names, range(base, base + len(names)), strict=True))
         self.used += more
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The chunk codes of all texts in a row, and how many each text has."""
-        if len(self.code) > self.limit:
+        if len(self.code) > self.limit or self.signs + self.used > self.weight:
             self._shrink()
         parts = [self.split(t) for t in texts]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -132,7 +166,7 @@ class ChunkCache:
         unseen = set(every)
         unseen.difference_update(self.code)
         if unseen:
-            self._add(names := sorted(unseen), self.resolve(names))
+            self._add(names := list(unseen), self.resolve(names))
         code = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
         self.seen += np.bincount(code, minlength=len(self.seen))
         return code, n
