@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from weftline.llm import byte_bpe, nearest, packing, quality_classifier, quality_rules, secrets, simhash, token_counts, token_files, toxicity, word_vocab
+from weftline.llm import byte_bpe, common, fitting, nearest, packing, quality_classifier, quality_rules, secrets, simhash, token_counts, token_files, toxicity, word_vocab
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY = Tokenizer.from_file(WORD)
@@ -94,6 +94,25 @@ def test_caches_shrink_without_changing_results():
         flat, n = cache.ids(texts)
         assert [list(x) for x in np.split(flat, np.cumsum(n)[:-1])] == [library_ids(t) for t in texts]
     assert len(cache.code) < 200
+    heavy = word_vocab.ChunkCache(word_vocab.split, word_vocab.resolver(WORD), weight=2000)
+    for k in range(6):
+        text = "the of the " + "".join(random.Random(k).choice("abcdef") for _ in range(5000))
+        assert list(heavy.ids([text])[0]) == library_ids(text)
+    heavy.ids(["x"])
+    assert heavy.signs + heavy.used < 2000 and "the" in heavy.code
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
 
 
 def check_pieces(got, want, capacity):
@@ -148,6 +167,29 @@ def test_differencing_balances():
     assert sum(sums) == sum(sizes) and max(sums) - min(sums) <= 10
 
 
+def test_packing_of_very_many_tiny_items_stays_small():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for lengths in ([1] * 524_288, [1] * 200_000 + [2] * 100_000 + [700] * 150):
+        windows = packing.pack(lengths)
+        sums = [sum(n for _, _, n in w) for w in windows]
+        assert sum(sums) == sum(lengths) and max(sums) <= packing.CAPACITY and len(windows) <= -(-sum(lengths) // packing.CAPACITY) + 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 * 1024  # kilobytes
+
+
+def test_long_words_as_overlapping_pieces():
+    ranks = byte_bpe.ranks(BYTE)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = byte_bpe.codec(BYTE, public_tokenizers.PATTERN), random.Random(1)
+    assert codec.regular
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    for text in (letters(200_000, latin), letters(50_000, "ACGT"), "a" * 60_001, "ab" * 20_000, "-" * 40_001, "x" * 3000 + letters(3000, latin) + "ab" * 900 + "日本" * 900 + letters(400, "бвгд")):
+        flat, n = codec.encode([text, "short"])
+        assert list(flat[: n[0]]) == own.encode_ordinary(text) and codec.decode(flat, n) == [text.encode(), b"short"]
+
+
 def test_token_files_in_id_order_with_random_access(docs, nothing):
     files = token_files.write_token_files(docs, WORD, 1, ranges=3, segment=2000)
     got = sorted(token_files.read_token_files(files).collect(), key=lambda r: r["start"])
@@ -163,6 +205,29 @@ def test_token_files_in_id_order_with_random_access(docs, nothing):
     assert token_files.read_token_files(empty).count() == 0
 
 
+def test_token_files_split_hot_ids_and_define_ties(spark):
+    words = "alpha beta gamma delta epsilon".split()
+    data = [(None, words[i % 5] * 3) for i in range(300)] + [(7, "same text") for _ in range(300)] + [(i, words[i % 5]) for i in range(300)] + [(250, " ".join(words[: i % 6])) for i in range(200)]
+    random.Random(2).shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    files = token_files.write_token_files(df, WORD, 1, ranges=12, segment=50)
+    sizes = {r["range"]: r["n"] for r in files.groupBy("range").agg({"n_ids": "sum"}).withColumnRenamed("sum(n_ids)", "n").collect()}
+    assert len(sizes) >= 12 and max(sizes.values()) < sum(sizes.values()) / 4
+    got = sorted(token_files.read_token_files(files).collect(), key=lambda r: r["start"])
+    again = sorted(token_files.read_token_files(token_files.write_token_files(df.repartition(3), WORD, 1, ranges=12)).collect(), key=lambda r: r["start"])
+    assert got == again  # whatever the partitioning
+    assert [r["start"] for r in got] == [0, *itertools.accumulate(r["n_tokens"] for r in got)][:-1]
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert order == sorted(order) and Counter(order) == Counter(-1 if i is None else i for i, _ in data)
+    want = Counter((d, len(x := [*library_ids(t), 1]), zlib.crc32(np.array(x, "<u4").tobytes())) for d, t in data)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
+def test_token_files_stay_where_the_caller_wants_them(spark, docs, tmp_path):
+    files = token_files.write_token_files(docs, WORD, to=f"file://{tmp_path}/tokens")
+    assert files.count() and spark.read.parquet(f"file://{tmp_path}/tokens").count() == files.count()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**31 - 1), max_size=1500), st.data())
 def test_codes_give_any_token(ids, data):
@@ -403,6 +468,70 @@ def test_quality_classifier_held_out(spark, docs, nothing):
     assert {r["score"] for r in quality_classifier.score(train.limit(5), none).collect()} == {0.5}
 
 
+def test_the_bound_on_labelled_rows_holds_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(500)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(0, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = fitting.labelled_sample(docs, labels, "toxic", 4, 2, 100).collect()
+    kept = {i for i in range(5) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {(r["doc_id"], r["text"], r["label"]) for r in got} == {(i, f"text {min(range(i, 500, 5), key=lambda j: f'text {j}')}", 1 if i in (0, 1, 3) else 0) for i in kept} and len(got) == len(kept)
+
+
+def test_isotonic_equals_a_direct_fit():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60):
+        raw, label = rng.normal(size=n).round(1 if n > 5 else 6), rng.integers(0, 2, n).astype(float)
+        order = np.argsort(raw, kind="stable")
+        y = label[order]
+        # least squares under order: the greatest, over starts, of the least mean over ends
+        direct = [max(min(y[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        steps, values = quality_classifier.isotonic(raw, label)
+        assert np.allclose(np.unique(np.round(direct, 12)), np.unique(np.round(values, 12)))
+        assert all(np.isclose(v, np.mean([raw[order][i] for i in range(n) if np.isclose(direct[i], w)])) for v, w in zip(steps, values, strict=True))
+
+
+def test_the_summed_normal_equations_give_the_ridge_solution(spark):
+    train, labels = labelled(spark, 300)
+    model = quality_classifier.fit(train, labels)
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    data = [(r["doc_id"], r["text"]) for r in train.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    z = model.features(quality_classifier.matrix([t for _, t in data]))
+    y = np.array([truth[i] for i, _ in data], float)
+    ridge = quality_classifier.RIDGE * len(y) * np.eye(z.shape[1]) / quality_classifier.FEATURES
+    ridge[-1, -1] = 1e-9
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + ridge, z.T @ y), rtol=1e-6, atol=1e-8)
+
+
+def test_restore_is_the_cheapest_of_all_spellings():
+    language = toxicity.Language(20 * toxicity.trigrams("you are an idiot a loser is stupid the of to tree hello"))
+
+    def every(run):
+        """All (cost, spelling) of a run, one sign at a time."""
+        found = {("  ", "", ""): 0.0}
+        for c in run:
+            new = {}
+
+            def keep(key, cost, new=new):
+                new[key] = min(cost, new.get(key, np.inf))
+
+            signs = toxicity.SIGNS.get(c, "")
+            letters = [(x, toxicity.SIGN_COST) for x in signs] or ([(c, 0.0)] if c.isalpha() else [])
+            for (context, last, text), cost in found.items():
+                if not letters:
+                    keep((context, last, text), cost + (toxicity.SEPARATOR_COST if c in toxicity.SEPARATORS else 2.0))
+                    if context != "  ":
+                        keep(("  ", "", text + " "), cost + toxicity.WORD_COST + language.cost(context, " "))
+                for x, extra in letters:
+                    keep((context[1] + x, x, text + x), cost + extra + language.cost(context, x))
+                    if x == last:
+                        keep((context, last, text), cost + toxicity.REPEAT_COST)
+            found = new
+        return {text: min(c + (language.cost(k, " ") if k != "  " else 0.0) for (k, _, t), c in found.items() if t == text) for _, _, text in found}
+
+    for run in ("1d10t", "i d i o t", "l0$er", "iddiot", "1.d 10t", "|0s3r", "+r33", "a l o", "$7up1d", "6 8 0"):
+        spellings = every(run)
+        assert spellings[toxicity.restore(run, language)] == pytest.approx(min(spellings.values())), run
+
+
 def test_isotonic_is_monotone_and_keeps_the_mean():
     rng = np.random.default_rng(2)
     raw, label = rng.normal(size=200), rng.integers(0, 2, 200)

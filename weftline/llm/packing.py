@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,36 +36,74 @@ FILLER = 0.03
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Multiway differencing: items (by index) in ``k`` windows of near-equal sums.
 
-    Each item starts as a partial partition with one used window. The two partial partitions of largest spread are
-    merged, the fullest window of one with the emptiest of the other, until one is left.
+    The two partial partitions of largest spread are merged, the fullest window of one with the emptiest of the other,
+    until one is left. Items of one size wait as a group: as long as a partial partition's spread is larger, it takes
+    them one by one into its emptiest window; once the group leads, each ``k`` of its items level all windows and the
+    rest are a partial partition. Partial partitions hold their used windows only, in falling order, so that memory
+    stays in proportion to the items.
     """
-    nxt = np.full(len(sizes), -1)
-    heap = []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        sums = np.zeros(k, np.int64)
-        head = np.full(k, -1)
-        sums[0], head[0] = sizes[i], i
-        heap.append((-sizes[i], i, sums, head, head.copy()))
+    size = np.asarray(sizes, np.int64)
+    order = np.lexsort((np.arange(len(size)), -size))
+    nxt = np.full(len(size), -1)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(size[order]) != 0])) if len(size) else np.zeros(0, np.int64)
+    level: list[np.ndarray] = []
+    # (- spread, turn, size of a group's items or 0, its items or the windows' sums, heads, tails)
+    heap: list[tuple] = [(-int(size[order[a]]), n, int(size[order[a]]), order[a:b], None, None) for n, (a, b) in enumerate(zip(starts, np.append(starts, len(size))[1:], strict=True))]
     heapq.heapify(heap)
-    turn = len(sizes)
-    while len(heap) > 1:
-        _, _, s1, h1, t1 = heapq.heappop(heap)
-        _, _, s2, h2, t2 = heapq.heappop(heap)
-        s, h2, t2 = s1 + s2[::-1], h2[::-1], t2[::-1]  # sums fall from left to right
-        both = (h1 >= 0) & (h2 >= 0)
-        nxt[t1[both]] = h2[both]
-        head, tail = np.where(h1 >= 0, h1, h2), np.where(h2 >= 0, t2, t1)
-        order = np.argsort(-s, kind="stable")
-        s, head, tail = s[order], head[order], tail[order]
+    turn = len(heap)
+
+    def push(s: np.ndarray, head: np.ndarray, tail: np.ndarray) -> None:
+        nonlocal turn
         turn += 1
-        heapq.heappush(heap, (int(s[-1] - s[0]), turn, s, head, tail))
-    out: list[list[int]] = []
-    for i in heap[0][3] if heap else np.full(k, -1):
-        own = []
+        used = head >= 0
+        s, head, tail = s[used], head[used], tail[used]
+        rank = np.argsort(-s, kind="stable")
+        s, head, tail = s[rank], head[rank], tail[rank]
+        heapq.heappush(heap, (int((s[-1] if len(s) == k else 0) - s[0]), turn, 0, s, head, tail))
+
+    while heap and (len(heap) > 1 or heap[0][2]):
+        _, _, one, s1, h1, t1 = heapq.heappop(heap)
+        if one:
+            full = len(s1) // k * k
+            if full:
+                level.append(s1[:full].reshape(-1, k))
+            if len(rest := s1[full:]):
+                push(np.full(len(rest), one), rest, rest.copy())
+            continue
+        spread, first, one, s2, h2, t2 = heapq.heappop(heap)
+        if one:
+            s, head, tail = (np.concatenate([x, np.full(k - len(x), v)]) for x, v in ((s1, 0), (h1, -1), (t1, -1)))
+            low, top, taken = [(int(x), j) for j, x in enumerate(s)], int(s[0]), 0
+            heapq.heapify(low)
+            while taken < len(s2) and top - low[0][0] >= one:
+                x, j = low[0]
+                item = s2[taken]
+                if head[j] < 0:
+                    head[j] = item
+                else:
+                    nxt[tail[j]] = item
+                tail[j] = item
+                heapq.heapreplace(low, (x + one, j))
+                top, taken = max(top, x + one), taken + 1
+            for x, j in low:
+                s[j] = x
+            push(s, head, tail)
+            if taken < len(s2):
+                heapq.heappush(heap, (spread, first, one, s2[taken:], None, None))
+            continue
+        s2, h2, t2 = s2[::-1], h2[::-1], t2[::-1]
+        both = max(0, len(s1) + len(s2) - k)  # windows that are used on either side
+        cut = len(s1) - both
+        nxt[t1[cut:]] = h2[:both]
+        push(np.concatenate([s1[:cut], s1[cut:] + s2[:both], s2[both:]]), np.concatenate([h1, h2[both:]]), np.concatenate([t1[:cut], t2]))
+    out: list[list[int]] = [[] for _ in range(k)]
+    for j, i in enumerate(heap[0][4] if heap else []):
         while i >= 0:
-            own.append(int(i))
+            out[j].append(int(i))
             i = nxt[i]
-        out.append(own)
+    for rows in level:
+        for j in range(k):
+            out[j] += rows[:, j].tolist()
     return out
 
 
@@ -80,10 +119,9 @@ def pack(lengths: list[int], capacity: int = CAPACITY, filler: float = FILLER) -
     if not total:
         return windows
     rest.sort(key=lambda r: -r[2])
-    held, kept = [], 0
-    while rest and kept < filler * total:
-        held.append(rest.pop(0))
-        kept += held[-1][2]
+    kept = np.cumsum([r[2] for r in rest])
+    first = min(len(rest), int(np.searchsorted(kept, filler * total)) + 1)
+    held, rest = rest[:first], rest[first:]
     k = -(-total // capacity)
     sizes = [r[2] for r in rest]
     while True:
@@ -147,8 +185,9 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, capacity: int = CA
         packer = Packer(capacity, block, TaskContext.get().partitionId() << 33)
 
         def out(last: bool) -> Iterator[pa.RecordBatch]:
-            if rows := list(packer.rows(last)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=kind)
+            rows = packer.rows(last)
+            while some := list(islice(rows, 65_536)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], schema=kind)
 
         for batch in batches:
             for part in slices(batch):

@@ -6,19 +6,24 @@ that has one; a continuation bitmap says which of them go on to level k+1, and a
 
 A segment is one file image: header, document table, then per level its chunks, bitmap and directory. Segments are
 stored as rows of a Parquet table in the shared folder, so Spark's commit protocol keeps them whole when a task is
-lost or run twice, on any store. Documents are dealt to ranges of doc_id whose bounds come from a scan of the ids
-alone, so texts are tokenised and shuffled once. Each range knows its own running position; only the totals of the
-ranges (one number per partition) come to the driver.
+lost or run twice, on any store. Documents are dealt to ranges of doc_id, one per ``RANGE`` bytes of input, whose
+bounds come from a scan of the ids alone, so texts are tokenised and shuffled once. An id that fills several ranges by
+itself (null too) is cut by the hash of its texts, and a text that does so by the rows' numbers. Each range knows its
+own running position; only the totals of the ranges (one number per partition) come to the driver.
 
 Defined results: null and empty texts hold the end id alone; null ids come before all others; rows that share an id
-follow one another in any order; an empty table gives an empty table; further columns are ignored.
+follow one another by the hash of their texts, then by the ids, so that only equal texts may change places; an empty
+table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import accumulate
 
 import numpy as np
@@ -31,6 +36,8 @@ from weftline.llm.word_vocab import encode_texts
 
 MAGIC, WIDTH, RANK = b"DAC1", 8, 512
 SEGMENT = 256 * 1024
+#: Bytes of input (as Spark estimates them, compressed for files) for each range.
+RANGE = 32 << 20
 FILES = "range int, segment int, range_start long, n_ids long, image binary"
 
 
@@ -121,31 +128,87 @@ class Segment:
         return self.tokens(int(self.starts[k]), int(self.starts[k] + self.sizes[k]))
 
 
-def tokenized(df: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and ids as bytes (16 bits each if the vocabulary allows)."""
+@dataclass
+class Ranges:
+    """Bounds of the ranges; they rise with (doc_id, hash of the text), null ids first."""
+
+    edges: np.ndarray
+    #: For each id that fills ranges by itself the bounds of its texts' hashes; equal bounds share rows by their number.
+    inside: dict[int, np.ndarray]
+
+    @cached_property
+    def hot(self) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(sorted(self.inside), np.int64)
+        return ids, np.cumsum([0, *(len(self.inside[i]) for i in ids.tolist())])
+
+    def __len__(self) -> int:
+        return len(self.edges) + 1 + int(self.hot[1][-1])
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray, first_row: int) -> np.ndarray:
+        wide, more = self.hot
+        out = np.searchsorted(self.edges, ids) + more[np.searchsorted(wide, ids)]
+        for i in np.flatnonzero(np.isin(ids, wide)):
+            bounds = self.inside[int(ids[i])]
+            low, high = np.searchsorted(bounds, hashes[i]), np.searchsorted(bounds, hashes[i], side="right")
+            out[i] += low + (first_row + i) % max(high - low, 1)
+        return out.astype(np.int32)
+
+
+#: Stands for a null id: sorts before all others.
+NULL = -(1 << 63)
+
+
+def ranges_of(docs: DataFrame, n: int) -> Ranges:
+    """About ``n`` ranges of equally many rows; bounds come from one scan of the ids, and one of the hot ids' texts."""
+    if n < 2:
+        return Ranges(np.zeros(0, np.int64), {})
+    key = F.coalesce("doc_id", F.lit(NULL))
+    quantiles = lambda c, k: F.percentile_approx(c, [i / k for i in range(1, k)], max(10_000, 10 * k))
+    bounds = Counter(docs.agg(quantiles(key, n)).first()[0] or [])
+    hot = {b: m + 1 for b, m in bounds.items() if m > 1}
+    inside = {}
+    if hot:
+        most = max(hot.values())
+        found = docs.where(key.isin(list(hot))).groupBy(key.alias("k")).agg(quantiles(F.xxhash64("text"), most).alias("q"))
+        for r in found.collect():  # bounded by the ranges
+            m = hot[r["k"]]
+            inside[r["k"]] = np.array([r["q"][round(i * most / m) - 1] for i in range(1, m)], np.int64)
+    return Ranges(np.array(sorted(bounds), np.int64), inside)
+
+
+def tokenized(docs: DataFrame, ranges: Ranges, path: str, end_id: int) -> DataFrame:
+    """range, doc_id, hash, and ids as bytes (16 bits each if the vocabulary allows)."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranges)  # two numbers a range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = 0
         for batch in batches:
             for part in slices(batch):
                 flat, n = encode_texts(part.column("text").to_pylist(), path, end_id)
                 wide = 2 if not len(flat) or flat.max() < 1 << 16 else 4
-                end = np.cumsum(n) * wide
-                raw = flat.astype(f"<u{wide}").tobytes()
-                image = [raw[a:b] for a, b in zip(np.concatenate([[0], end[:-1]]), end, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([wide] * len(n), pa.int32()), pa.array(image, pa.binary())], names=["doc_id", "wide", "ids"]
-                )
+                end = np.concatenate([[0], np.cumsum(n) * wide]).astype(np.int32)
+                image = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(end), pa.py_buffer(flat.astype(f"<u{wide}"))])
+                ids, hashes = part.column("doc_id").fill_null(NULL).to_numpy(), part.column("hash").to_numpy()
+                where = shared.value.of(ids, hashes, row)
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(where), part.column("doc_id"), part.column("hash"), pa.array(np.full(len(n), wide, np.int32)), image], names=["range", "doc_id", "hash", "wide", "ids"])
+
+    return docs.withColumn("hash", F.xxhash64("text")).mapInArrow(run, "range int, doc_id long, hash long, wide int, ids binary")
 
-    return texts(df).mapInArrow(run, "doc_id long, wide int, ids binary")
 
+def write_token_files(df: DataFrame, path: str, end_id: int = 1, ranges: int | None = None, segment: int = SEGMENT, to: str | None = None) -> DataFrame:
+    """Writes the ids of all texts in ascending doc_id order; returns the table of segments.
 
-def write_token_files(df: DataFrame, path: str, end_id: int = 1, ranges: int | None = None, segment: int = SEGMENT) -> DataFrame:
-    """Writes the ids of all texts in ascending doc_id order; returns the table of segments."""
+    With ``to`` the files stay there; else they lie in the shared folder until Spark ends.
+    """
     spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = [i / ranges for i in range(1, ranges)]
-    bounds = texts(df).agg(F.percentile_approx("doc_id", share or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
+    docs = texts(df)
+    if ranges is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size >= 1 << 60:  # not known without reading
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    dealt = ranges_of(docs, ranges)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, parts, held, at, count, key = [], [], 0, 0, 0, None
@@ -173,12 +236,9 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 1, ranges: int | N
                         yield from out()
         yield from out()
 
-    place = F.lit(0)
-    if bounds:
-        place = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))))
-    dealt = tokenized(df, path, end_id).withColumn("range", place.cast("int"))
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", F.col("doc_id").asc_nulls_first())
-    return written(dealt.mapInArrow(encode, FILES), "tokens")
+    # a partition for each range
+    coded = tokenized(docs, dealt, path, end_id).repartitionById(len(dealt), F.col("range")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "ids")
+    return written(coded.select("range", "doc_id", "wide", "ids").mapInArrow(encode, FILES), "tokens", to)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
