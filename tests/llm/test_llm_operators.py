@@ -356,7 +356,61 @@ def test_simhash_equals_brute_force(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("levels", [0, 1, 2, 3])
+def near_copies(n, seed=1):
+    """Fingerprints of which most lie around one centre."""
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 1 << 63, size=n, dtype=np.uint64)
+    centre = fp[0]
+    for i in range(n * 3 // 4):
+        flips = rng.integers(0, 64, size=rng.integers(1, 7))
+        fp[i] = centre
+        for b in flips:
+            fp[i] ^= np.uint64(1) << np.uint64(b)
+    return np.unique(fp)
+
+
+def test_hot_leaves_are_cut_and_lose_no_link(spark):
+    fp = near_copies(1500)
+    distinct = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    found = simhash.links(distinct, len(fp), shard=64)
+    assert spark.read.parquet(common._MADE[-1]._weftline_path).count() > 0  # hot leaves
+    forest = simhash.Forest(len(fp))
+    where = {int(x): i for i, x in enumerate(fp.view(np.int64))}
+    for r in found.collect():
+        forest.join(np.array([where[r["a"]]]), np.array([where[r["b"]]]))
+    brute = simhash.Forest(len(fp))
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+    brute.join(i, j)
+    every = np.arange(len(fp))
+    assert forest.roots(every).tolist() == brute.roots(every).tolist()
+
+
+def test_joins_take_hot_keys_by_broadcast(spark, monkeypatch):
+    left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(500)] + [(None, 1)], "k long, v long")
+    right = left.groupBy("k").agg(simhash.F.max("v").alias("m"), simhash.F.count("*").alias("n"))
+    want = Counter((r["k"], r["v"], r["m"]) for r in left.join(right, "k").collect())
+    for spread in (1, 4, 10_000):
+        monkeypatch.setattr(simhash, "SPREAD", spread)
+        assert Counter((r["k"], r["v"], r["m"]) for r in simhash.by_key(left, right, "k", 501).collect()) == want
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark, monkeypatch, tmp_path):
+    rng = random.Random(8)
+    prose = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 7) for _ in range(120)) for _ in range(5)]
+    data = [(1, prose[0], 5), (1, prose[1], 5), (2, prose[0], 6), (3, prose[2], 7), (3, prose[2], 7), (3, prose[2], 8), (None, prose[3], 1), (None, prose[3], 1), (None, prose[0], 1), (4, None, 2), (5, "", 3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, row int").withColumn("file", simhash.F.lit("clash")).withColumn("_metadata", simhash.F.lit(1))
+    df.repartition(3).write.parquet(f"file://{tmp_path}/d")
+    for some in (df, spark.read.parquet(f"file://{tmp_path}/d")):
+        for bound in (500_000, 0):
+            monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+            got = simhash.representatives(some)
+            assert got.columns == df.columns
+            kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+            assert Counter(kept) == Counter([(1, prose[0]), (1, prose[1]), (3, prose[2]), (None, prose[3]), (4, None)])
+    assert simhash.representatives(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2, 3, 6])
 def test_vantage_point_leaves_lose_no_pair(levels):
     rng = np.random.default_rng(levels)
     x = rng.integers(0, 1 << 63, size=300, dtype=np.uint64)
@@ -366,6 +420,7 @@ def test_vantage_point_leaves_lose_no_pair(levels):
     fp = np.unique(np.concatenate([x, y]))
     want = {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4), strict=True) if i < j}
     place, leaf, own = simhash.leaves(fp, levels)
+    assert len(place) <= len(fp) * (3 + 64)
     found = set()
     for g in np.unique(leaf):
         here = place[leaf == g]
