@@ -276,6 +276,81 @@ def test_quality_rules_reject_outliers_and_keep_the_rest(spark):
         quality_rules.BROADCAST_GROUPS = old
 
 
+def robust(x):
+    """The estimate of one group in plain arrays, with the same bins and starts."""
+    q = quality_rules
+    ridge = np.diag(np.square(q.RIDGE))
+
+    def at(bins, share):
+        return np.sort(bins)[int(np.ceil(share * len(bins))) - 1]
+
+    bins = np.floor(x / q.START_BIN)
+    m = np.array([(at(b, 0.5) + 0.5) * q.START_BIN for b in bins.T])
+    s = np.sqrt(np.array([(at(b, 0.75) - at(b, 0.25)) * q.START_BIN / 1.349 for b in bins.T]) ** 2 + np.square(q.RIDGE))
+    z = (x - m) / s
+    length = np.sqrt((z * z).sum(1, keepdims=True))
+    u = np.divide(z, length, out=np.zeros_like(z), where=length > 0)
+    found = [(m, np.diag(s**2)), (x.mean(0), np.cov(x.T, bias=True) + ridge), (m, q.P * (u.T @ u) / len(x) * np.outer(s, s) + ridge)]
+    d2 = lambda m, c: ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+    det = lambda c: np.linalg.slogdet(c)[1]
+
+    def step(m, c):
+        b = np.floor(np.log1p(d2(m, c)) * q.DISTANCE_BINS)
+        core = x[b <= at(b, q.CORE)]
+        return core.mean(0), q.consistency(q.CORE) * np.cov(core.T, bias=True) + ridge
+
+    for _ in range(q.FIRST_STEPS):
+        found = [step(*f) for f in found]
+    best = min(found, key=lambda f: det(f[1]))
+    while det((new := step(*best))[1]) < det(best[1]) - q.LEAST_FALL:
+        best = new
+    rng, least = np.random.default_rng(1), np.inf
+    for _ in range(40):  # any start at all
+        some = x[rng.choice(len(x), 6, replace=False)]
+        f = some.mean(0), np.cov(some.T, bias=True) + ridge
+        for _ in range(30):
+            f = step(*f)
+        least = min(least, det(f[1]))
+    inner = x[d2(*best) <= q.chi_square_quantile(1 - q.TRIM, q.P)]
+    return d2(inner.mean(0), q.consistency(q.TRIM) * np.cov(inner.T, bias=True) + ridge), det(best[1]), least
+
+
+def test_chi_square_law():
+    assert quality_rules.chi_square_tail(11.0705, 5) == pytest.approx(0.05, rel=1e-4)
+    assert quality_rules.chi_square_quantile(0.001, 5) == pytest.approx(20.515, rel=1e-4)
+    assert quality_rules.chi_square_tail(14.0671, 7) == pytest.approx(0.05, rel=1e-4)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200_000, 5))
+    d2 = (x * x).sum(1)
+    core = x[d2 <= np.quantile(d2, 0.75)]
+    assert np.allclose(quality_rules.consistency(0.75) * np.cov(core.T), np.eye(5), atol=0.03)
+
+
+def test_the_robust_estimate_equals_plain_arrays_and_no_start_does_better(spark):
+    rng = random.Random(12)
+    prose = lambda n, mark: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) + str(rng.randrange(400)) + (mark if rng.random() < 0.6 else "") for _ in range(n))
+    data = []
+    for g, n in enumerate((300, 120)):
+        data += [(1000 * g + i, prose(rng.randrange(60, 400), "") + "\nagain and\nagain and" * rng.randrange(3), "en", f"s{g}") for i in range(n)]
+        data += [(1000 * g + 500 + i, prose(150, "%$%$"), "en", f"s{g}") for i in range(n // 5)]
+    stats = quality_rules.statistics_table(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"))
+    got = quality_rules.judged(stats, quality_rules.fit(stats)).select("doc_id", "q_source", "q_x", "q_d2", "q_kept").collect()
+    for source in ("=s0", "=s1"):
+        rows = [r for r in got if r["q_source"] == source]
+        want, mine, least = robust(np.array([r["q_x"] for r in rows]))
+        assert np.allclose([r["q_d2"] for r in rows], want, rtol=1e-6, atol=1e-6)
+        assert mine <= least + 0.05
+        assert all(r["q_kept"] == (r["q_d2"] <= quality_rules.CUTOFF) == (r["doc_id"] % 1000 < 500) for r in rows)
+
+
+def test_passing_keeps_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, "word " * i, "en", "s", i, "x", "y") for i in range(40, 60)], "doc_id long, text string, lang string, source string, q_text int, q_row string, q_x string")
+    got = quality_rules.passing(df)
+    assert got.columns == df.columns and got.count() == 0
+    unlike = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i)), "en", "s", i, "x", "y") for i in range(40, 60)], df.schema)
+    assert sorted(quality_rules.passing(unlike).collect()) == sorted(unlike.where("doc_id >= 50").collect())
+
+
 def test_quality_rules_judge_small_groups_by_their_language_or_all_rows(spark):
     rng = random.Random(6)
     prose = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) + str(rng.randrange(400)) for _ in range(n))

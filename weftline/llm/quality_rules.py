@@ -1,11 +1,13 @@
 """Quality rules: fixed counts, and robust multivariate outliers per language and source. DataFrame functions only.
 
-The counts of a text give a vector of transformed statistics. For each (lang, source) a minimum-covariance-determinant
-estimate is found by concentration steps: start at medians and quartile ranges, then repeatedly take the ``CORE`` share
-of rows with least Mahalanobis distance and estimate mean and covariance from them. A ridge keeps the covariance
-regular where most rows agree in a statistic. A document is rejected if its squared distance exceeds ``CUTOFF``. The
-distance is divided by the group's scale (its median over that of a chi-square) where this is above 1 only: the ridge
-mostly holds it far below, and then distances stay in units of the ridged covariance.
+The counts of a text give a vector of transformed statistics. For each (lang, source) the minimum covariance
+determinant is sought from ``STARTS`` starts: medians with quartile ranges, mean and covariance of all rows, and the
+covariance of signs around the medians. A concentration step takes the ``CORE`` share of rows with least Mahalanobis
+distance and estimates mean and covariance from them, with the factor that makes a normal core's covariance that of the
+whole, and a ridge that keeps it regular where most rows agree in a statistic. After ``FIRST_STEPS`` steps each group
+keeps its start of least determinant and goes on until the determinant falls no further. Rows within the ``TRIM``
+quantile of the chi-square law then give the final mean and covariance, and a document is rejected whose squared
+distance a normal vector exceeds with probability ``TAIL`` only.
 
 Quantiles come from fine histograms (group, bin, count), which combine before the shuffle, are exact to a bin and do
 not depend on the partitioning; so one group may hold any share of the rows. Group estimates are joined by broadcast
@@ -20,20 +22,21 @@ by 64-bit hashes of their words within one text.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.common import SPACE, drop_written, written
+from weftline.llm.common import SPACE, drop_since, drop_written, mark_written, written
 
 DIMENSIONS = ("words", "word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation of each statistic: smaller differences never matter.
 RIDGE = (0.5, 0.1, 0.05, 0.1, 0.1)
 P = len(DIMENSIONS)
-CORE, STEPS, CUTOFF, LEAST_ROWS = 0.75, 3, 80.0, 50
+CORE, TRIM, TAIL, LEAST_ROWS = 0.75, 0.975, 1e-5, 50
+STARTS, FIRST_STEPS, MOST_STEPS, LEAST_FALL = 3, 2, 30, 1e-4
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Median of the chi-square distribution with P = 5 degrees of freedom.
-CHI_MEDIAN = 4.3515
 BROADCAST_GROUPS, SALTS = 20_000, 64
 START_BIN = 0.01
 #: Bins of ln(1 + d2) for distances.
@@ -42,6 +45,30 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 
 
+def chi_square_tail(x: float, degrees: int) -> float:
+    """Probability above ``x`` for an odd number of degrees."""
+    total, term = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for d in range(3, degrees + 1, 2):
+        total += term
+        term *= x / d
+    return total
+
+
+def chi_square_quantile(tail: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_tail(middle, degrees) > tail else (low, middle)
+    return low
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the inner ``share`` of a normal law has to be multiplied by."""
+    return share / (1 - chi_square_tail(chi_square_quantile(1 - share, P), P + 2))
+
+
+CUTOFF = chi_square_quantile(TAIL, P)
+
 MADE = [*[f"q_{c}" for c in COUNTS], "q_base_failed", "q_x", "q_lang", "q_source"]
 
 
@@ -106,8 +133,8 @@ def counted(df: DataFrame) -> DataFrame:
                 F.log1p(n),
                 F.log1p(F.when(n > 0, chars / n).otherwise(0.0)),
                 F.sqrt(share("q_n_symbols", chars)),
-                F.sqrt(share("q_n_dup_lines", lines)),
-                F.sqrt(share("q_n_repeat_words", n)),
+                share("q_n_dup_lines", lines),
+                share("q_n_repeat_words", n),
             ),
             "q_lang": F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")),
             "q_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
@@ -126,7 +153,7 @@ def attach(df: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     if n_groups <= BROADCAST_GROUPS:
         return df.join(F.broadcast(groups), KEY, "left")
     salted = groups.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("q_x", "q_n_words", "q_word_chars", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("q_x", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
     return df.withColumn("q_salt", salt).join(salted, [*KEY, "q_salt"], "left").drop("q_salt")
 
 
@@ -151,8 +178,11 @@ def distance(df: DataFrame) -> DataFrame:
     return once(df.withColumn("q_d2", total).drop(*[f"q_y{i}" for i in range(P)]), ["q_d2"])
 
 
+ESTIMATE = [*KEY, "q_start"]
+
+
 def factored(groups: DataFrame) -> DataFrame:
-    """From q_m and columns c_i_j (covariance with its ridge): q_m and the Cholesky factor q_l."""
+    """From q_m and columns c_i_j (covariance with its ridge): q_m, the Cholesky factor q_l and the log determinant."""
     for j in range(P):
         for i in range(j, P):
             rest = F.col(f"c_{i}_{j}")
@@ -160,46 +190,74 @@ def factored(groups: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             groups = groups.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
     flat = [F.col(f"l_{i}_{j}") if j <= i else F.lit(0.0) for i in range(P) for j in range(P)]
-    return groups.select(*KEY, "q_m", F.array(*flat).alias("q_l"))
+    determinant = sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(P)), F.lit(0.0))
+    return groups.select(*ESTIMATE, "q_m", F.array(*flat).alias("q_l"), determinant.alias("q_det"))
 
 
-def start(stats: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each statistic as a diagonal first estimate."""
+def covariance(of, factor: float = 1.0) -> dict[str, Column]:
+    """Columns c_i_j: ``of(i, j)`` times a factor, and the ridge."""
+    return {f"c_{i}_{j}": factor * of(i, j) + (RIDGE[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
+
+
+def starts(good: DataFrame) -> DataFrame:
+    """Three first estimates of each group."""
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("q_x")[i] / START_BIN).alias("bin")) for i in range(P)]))
-    bins = stats.select(*KEY, at.alias("v")).groupBy(*KEY, F.col("v.i").alias("i"), F.col("v.bin").alias("bin")).agg(F.count("*").alias("n"))
-    got = quantiles(bins, [*KEY, "i"], {"low": 0.25, "mid": 0.5, "high": 0.75}).where(F.col("rows") >= LEAST_ROWS)
-    spread = ((F.col("high") - F.col("low")) * START_BIN / 1.349).alias("s")
-    got = got.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", ((F.col("mid") + 0.5) * START_BIN).alias("m"), spread))).alias("v"))
-    groups = got.select(*KEY, F.col("v.m").alias("q_m"), F.col("v.s").alias("s"))
-    cov = {f"c_{i}_{j}": F.pow(F.col("s")[i], 2) + RIDGE[i] ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
-    return factored(groups.withColumns(cov))
+    bins = good.select(*KEY, at.alias("v")).groupBy(*KEY, F.col("v.i").alias("i"), F.col("v.bin").alias("bin")).agg(F.count("*").alias("n"))
+    got = quantiles(bins, [*KEY, "i"], {"low": 0.25, "mid": 0.5, "high": 0.75})
+    spread = F.sqrt(F.pow((F.col("high") - F.col("low")) * START_BIN / 1.349, 2) + F.element_at(F.array(*map(F.lit, RIDGE)), F.col("i") + 1) ** 2)
+    got = got.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", ((F.col("mid") + 0.5) * START_BIN).alias("m"), spread.alias("s")))).alias("v"))
+    middle = written(got.select(*KEY, F.col("v.m").alias("q_m"), F.col("v.s").alias("q_s")), "middles")
+    rows = attach(good, middle, middle.count())
+    off = [F.col("q_x")[i] - F.col("q_m")[i] for i in range(P)]
+    unit = F.sqrt(sum((F.pow(off[i] / F.col("q_s")[i], 2) for i in range(P)), F.lit(0.0)))
+    sign = [F.when(unit > 0, off[i] / F.col("q_s")[i] / unit).otherwise(0.0) for i in range(P)]
+    sums = [F.count("*").alias("n"), F.first("q_m").alias("q_m"), F.first("q_s").alias("q_s")]
+    sums += [F.avg(off[i]).alias(f"s_{i}") for i in range(P)]
+    sums += [F.avg(x[i] * x[j]).alias(f"{k}_{i}_{j}") for k, x in (("p", off), ("g", sign)) for i in range(P) for j in range(i + 1)]
+    both = written(rows.groupBy(*KEY).agg(*sums), "starts")
+    drop_written(middle)
+    scale = lambda i: F.col("q_s")[i]
+    mean = F.array(*[F.col("q_m")[i] + F.col(f"s_{i}") for i in range(P)])
+    ways = (
+        ("q_m", lambda i, j: F.pow(scale(i), 2) - RIDGE[i] ** 2 if i == j else F.lit(0.0)),
+        (mean, lambda i, j: F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}")),
+        ("q_m", lambda i, j: P * F.col(f"g_{i}_{j}") * scale(i) * scale(j)),
+    )
+    parts = []
+    for k, (centre, of) in enumerate(ways):
+        parts.append(factored(both.select(*KEY, F.lit(k).alias("q_start"), (F.col(centre) if isinstance(centre, str) else centre).alias("q_m"), *[c.alias(n) for n, c in covariance(of).items()])))
+    out = written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "estimates")
+    drop_written(both)
+    return out
 
 
-def with_bins(stats: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
-    near = distance(attach(stats, groups, n_groups).where(F.col("q_m").isNotNull()))
-    return near.withColumn("bin", F.floor(F.log1p("q_d2") * DISTANCE_BINS))
+def distances(stats: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """Rows of the given groups with q_d2, a row for each estimate."""
+    return distance(attach(stats, groups, n_groups).where(F.col("q_m").isNotNull()))
 
 
-def step(stats: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
-    """One concentration step: estimates from the core of each group."""
-    near = with_bins(stats, groups, n_groups)
-    edge = quantiles(near.groupBy(*KEY, "bin").agg(F.count("*").alias("n")), KEY, {"edge": CORE})
-    both = written(groups.join(edge.select(*KEY, "edge"), KEY), "edges")
-    core = with_bins(stats, both, n_groups).where("bin <= edge")
-    sums = [F.count("*").alias("n")]
+def binned(d2: str = "q_d2") -> Column:
+    return F.floor(F.log1p(d2) * DISTANCE_BINS)
+
+
+def estimated(core: DataFrame, factor: float) -> DataFrame:
+    """Mean and covariance of the given rows for each estimate's key."""
     # sums about the former centre, so that little is lost in the squares
     off = [F.col("q_x")[i] - F.col("q_m")[i] for i in range(P)]
-    sums += [F.sum(off[i]).alias(f"s_{i}") for i in range(P)]
-    sums += [F.sum(off[i] * off[j]).alias(f"p_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    got = core.groupBy(*KEY).agg(*sums, F.first("q_m").alias("centre"))
-    n = F.col("n")
-    cov = {
-        f"c_{i}_{j}": F.col(f"p_{i}_{j}") / n - F.col(f"s_{i}") * F.col(f"s_{j}") / (n * n) + (RIDGE[i] ** 2 if i == j else 0.0)
-        for i in range(P)
-        for j in range(i + 1)
-    }
-    mean = F.array(*[F.col("centre")[i] + F.col(f"s_{i}") / n for i in range(P)]).alias("q_m")
-    out = written(factored(got.withColumns(cov).select(*KEY, mean, *cov)), "estimates")
+    sums = [F.avg(off[i]).alias(f"s_{i}") for i in range(P)]
+    sums += [F.avg(off[i] * off[j]).alias(f"p_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    got = core.groupBy(*ESTIMATE).agg(*sums, F.first("q_m").alias("centre"))
+    cov = covariance(lambda i, j: F.col(f"p_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}"), factor)
+    mean = F.array(*[F.col("centre")[i] + F.col(f"s_{i}") for i in range(P)]).alias("q_m")
+    return factored(got.select(*ESTIMATE, mean, *[c.alias(n) for n, c in cov.items()]))
+
+
+def step(stats: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """One concentration step for each estimate."""
+    near = distances(stats, groups, n_groups).withColumn("bin", binned())
+    edge = quantiles(near.groupBy(*ESTIMATE, "bin").agg(F.count("*").alias("n")), ESTIMATE, {"edge": CORE})
+    both = written(groups.join(edge.select(*ESTIMATE, "edge"), ESTIMATE), "edges")
+    out = written(estimated(distances(stats, both, n_groups).where(binned() <= F.col("edge")), consistency(CORE)), "estimates")
     drop_written(both)
     return out
 
@@ -223,33 +281,43 @@ def pools(stats: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
-    """Group estimates (q_m, q_l and the scale of distances) from rows that pass the base rule, and their number."""
+    """Group estimates (q_m, q_l) from rows that pass the base rule, and their number."""
+    mark = mark_written()
     plan = written(pools(stats), "pools")
     n_plan = plan.count()
     good = attach(stats.where(~F.col("q_base_failed")), plan.select(*KEY, "into"), n_plan)
     good = good.withColumn("into", F.explode("into")).withColumns({k: F.col(f"into.{k}") for k in KEY}).drop("into")
-    groups = written(start(good), "estimates")
-    n_groups = groups.count()
-    for _ in range(STEPS):
-        new = step(good, groups, n_groups)
-        drop_written(groups)
-        groups = new
-    bins = with_bins(good, groups, n_groups).groupBy(*KEY, "bin").agg(F.count("*").alias("n"))
-    middle = quantiles(bins, KEY, {"mid": 0.5})
-    scale = (F.expm1((F.col("mid") + 0.5) / DISTANCE_BINS) / CHI_MEDIAN).alias("q_scale")
+    good = good.select(*KEY, "q_x")
+    since = mark_written()
+    groups = starts(good)
+    for _ in range(FIRST_STEPS):
+        groups = step(good, groups, n_plan)
+    rank = F.struct("q_det", "q_start")
+    best = groups.groupBy(*KEY).agg(*[F.min_by(c, rank).alias(c) for c in ("q_start", "q_m", "q_l", "q_det")])
+    best = moving = written(best, "estimates")
+    drop_since(since, best)
+    for _ in range(MOST_STEPS):
+        fallen = F.col("new.q_det") < F.col("best.q_det") - LEAST_FALL
+        both = best.alias("best").join(step(good, moving, n_plan).alias("new"), KEY, "left")
+        newer = [F.when(fallen, F.col(f"new.{c}")).otherwise(F.col(f"best.{c}")).alias(c) for c in ("q_start", "q_m", "q_l", "q_det")]
+        now = written(both.select(*KEY, *newer, F.coalesce(fallen, F.lit(False)).alias("fell")), "estimates")
+        drop_since(since, now)
+        best, moving = now.drop("fell"), now.where("fell").drop("fell")
+        if moving.isEmpty():
+            break
+    inner = distances(good, best, n_plan).where(F.col("q_d2") <= chi_square_quantile(1 - TRIM, P))
+    final = written(estimated(inner, consistency(TRIM)), "estimates")
     each = plan.select(*KEY, F.struct(*[F.col(f"to.{k}").alias(k) for k in KEY]).alias("to"))
-    made = groups.join(middle.select(*KEY, scale), KEY).select(F.struct(*KEY).alias("to"), "q_m", "q_l", "q_scale")
+    made = final.select(F.struct(*KEY).alias("to"), "q_m", "q_l")
     out = written(each.join(made, "to").drop("to"), "estimates")
-    drop_written(groups)
-    drop_written(plan)
+    drop_since(mark, out)
     return out, n_plan
 
 
 def judged(stats: DataFrame, model: tuple[DataFrame, int], cutoff: float = CUTOFF) -> DataFrame:
-    """Adds q_d2 (scaled where the scale is above 1) and q_kept."""
+    """Adds q_d2 and q_kept."""
     near = distance(attach(stats, *model))
-    d2 = F.col("q_d2") / F.greatest(F.col("q_scale"), F.lit(1.0))
-    return near.withColumn("q_d2", d2).withColumn("q_kept", ~F.col("q_base_failed") & ~F.coalesce(F.col("q_d2") > cutoff, F.lit(False)))
+    return near.withColumn("q_kept", ~F.col("q_base_failed") & ~F.coalesce(F.col("q_d2") > cutoff, F.lit(False)))
 
 
 def statistics_table(df: DataFrame) -> DataFrame:
@@ -259,14 +327,18 @@ def statistics_table(df: DataFrame) -> DataFrame:
 
 
 def quality(df: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and the squared distance d2 of ``judged`` of every row."""
+    """doc_id, the counts, base_failed, kept and the squared distance d2 of every row."""
     stats = statistics_table(df)
     got = judged(stats, fit(stats))
     return got.select("doc_id", *[F.col(f"q_{c}").cast("long").alias(c) for c in COUNTS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_d2").alias("d2"))
 
 
 def passing(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` with all their columns that quality keeps; texts are read twice instead of shuffled."""
-    stats = statistics_table(df)
-    got = judged(counted(df), fit(stats))
-    return got.where("q_kept").select(*df.columns)
+    """The rows of ``df`` with all their columns that quality keeps.
+
+    Rows are written with their counts, so that texts are counted once; the caller's columns lie in a struct, where no
+    name can clash.
+    """
+    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("q_row"), *[df[c] for c in ("text", "lang", "source")])
+    stats = written(counted(packed).drop("text", "lang", "source"), "counted")
+    return judged(stats, fit(stats)).where("q_kept").select("q_row.*")
