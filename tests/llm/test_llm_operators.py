@@ -693,6 +693,56 @@ def test_nearest_recall_order_and_odd_vectors(spark):
         assert [(-r["score"], r["vec_id"]) for r in found] == sorted((-r["score"], r["vec_id"]) for r in found)
         hits += len(set(ids[best]) & {r["vec_id"] for r in found})
     assert hits >= 0.9 * 20 * len(by)
+    odd = spark.createDataFrame([(20, [1.0, 2.0]), (40, [2.0, 1.0, 5.0]), (41, [1.0, 0.0]), (42, [0.0, 1.0, 1.0]), (41, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, nearest.search(odd).collect())) == [(20, 1, 41, 0.5), (40, 1, 42, 6.0)]  # own lengths, least vector
     few = nearest.search(df.where("vec_id < 5")).collect()
     assert {r["query_id"] for r in few} == {0} and len(few) == 4
     assert nearest.search(df.where("vec_id < 0")).count() == 0
+
+
+def test_nearest_over_many_shards_salts_and_a_second_round(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(30, 24))
+    x = np.concatenate([centre[rng.integers(0, 30, 4000)] + 0.4 * rng.normal(size=(4000, 24)), np.repeat(centre[:1], 700, axis=0)])  # one bucket over several shards
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    for more, recall in (({}, 0.9), ({"target": 0.05, "tables": 3}, 0.0)):
+        got = nearest.search(df, shard=200, **more).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+        assert set(by) == {int(i) for i in ids if i % 20 == 0} and all(sorted(f) == list(range(1, 21)) for f in by.values())  # none ends short
+        hits = 0
+        for q, found in by.items():
+            s = (x * x[q]).sum(1)
+            s[q] = -np.inf
+            want = np.sort(s)[::-1][:20]
+            assert all(abs(s[v] - score) < 1e-12 for v, score in found.values()) and q not in {v for v, _ in found.values()}
+            assert [found[r] for r in range(1, 21)] == sorted(found.values(), key=lambda f: (-f[1], f[0]))
+            hits += sum(score >= want[-1] - 1e-12 for _, score in found.values())
+        assert hits >= recall * 20 * len(by)
+
+
+def test_visited_buckets_are_those_of_greatest_success_and_prefixes_lose_none():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 12))
+    ix = nearest.Index(12, float(np.linalg.norm(x, axis=1).max()), 0.6, 5, 3, 500)
+    q = x[:50]
+    for t in range(2):
+        values = ix.asked(q) @ ix.lines[0][t]
+        logs = ix.logs(values, t)
+        assert np.allclose(np.exp(logs).sum(2), 1, atol=1e-3)
+        bound = ix.bounds(values, logs, t)
+        slots = ix.stored(x, t)
+        success = sum(logs[:, i, :][:, slots[:, i]] for i in range(5))
+        j, code = ix.prefixes(logs, bound)
+        kept = set(zip(j.tolist(), code.tolist(), strict=True))
+        own = (slots[:, 0] * nearest.SPAN + slots[:, 1]) * nearest.SPAN + slots[:, 2]
+        for a in range(len(q)):
+            assert {int(c) for c in own[success[a] >= bound[a] - nearest.SLACK]} <= {c for b, c in kept if b == a}
+        jj, rr, score = nearest.visited(ix, t, x, np.arange(2000), q, np.arange(50), bound, np.full(50, -np.inf), 7)
+        for a in range(len(q)):
+            inside = np.flatnonzero((success[a] >= bound[a] - nearest.SLACK) & (np.arange(2000) != a))
+            s = (x[inside] * q[a]).sum(1)
+            best = inside[np.lexsort((inside, -s))[:7]]
+            assert rr[jj == a].tolist() == best.tolist()
