@@ -1,7 +1,12 @@
 """Corpus preparation in five stages; each reads what the one before it has written as Parquet.
 
 Quality classifier, quality rules, near-duplicates, secrets, packing. Every stage works on all rows its predecessor
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``, further ones too.
+
+Defined results: null and empty texts are scored, counted and linked as empty texts, so that the rules let none of them
+pass, and would be packed as the end id alone; null ids pass through every stage and are judged by their texts; of repeated rows, and of
+near copies, one stays, while different texts that share an id are judged apart; very long texts are worked on whole;
+an empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import packing, quality_classifier, quality_rules, secrets, simhash
-from weftline.llm.common import table, written
+from weftline.llm.common import drop_since, mark_written, table, written
 from weftline.llm.queries import END_ID, word_vocab_path
 
 
@@ -25,11 +30,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each near-duplicate component; rows without an id stay."""
-    found = simhash.near_duplicates(docs)
-    away = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One document, the one of smallest id, of each near-duplicate component."""
+    return simhash.representatives(docs)
 
 
 def scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; tables that no later stage reads are deleted."""
+    docs, mark = table(spark, sf_dir, "documents"), mark_written()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_since(mark, docs)
     return docs
