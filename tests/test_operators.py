@@ -267,3 +267,82 @@ def test_diacritics_normalizer_counts_clusters_of_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: r["clusters"] for r in catalog.diacritics_normalizer(spark, str(tmp_path)).collect()}
     want = {n: None if t is None else len(" ".join(letters[i % 5] for i in range(n))) for n, t in data}
     assert got == want
+
+
+@pytest.mark.parametrize("cell", [7, 100_000])
+def test_places_and_carried_values_over_cells(spark, cell):
+    import random
+
+    from weftline.operators import order
+
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), i, rng.choice([None, i, i + 1])) for i in rng.sample(range(5000), 300)] + [("hot", 9000 + i, None if i % 3 else i) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, o long, v long").repartition(5)
+    got = {r["o"]: r["pos"] for r in order.numbered(df, ["k"], "o", cell=cell).collect()}
+    kept = {r["o"]: r["v"] for r in order.carried(df, "v", ["k"], "o", cell=cell).collect()}
+    for k in ("a", "b", None, "hot"):
+        rows, last = sorted((o, v) for x, o, v in data if x == k for v in [v if v is not None else -1]), None
+        for i, (o, v) in enumerate(rows):
+            last = last if v == -1 else v
+            assert got[o] == i and kept[o] == last
+    assert order.numbered(df.limit(0), ["k"], "o", cell=cell).count() == 0
+
+
+def test_edit_distances_equal_the_plain_table():
+    import random
+
+    import numpy as np
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    for n, m, letters in ((0, 0, 2), (0, 5, 2), (3, 200, 3), (150, 170, 2), (200, 200, 50), (300, 90, 4)):
+        a, b = [rng.randrange(letters) for _ in range(n)], [rng.randrange(letters) for _ in range(m)]
+        near = [x for x in a if rng.random() > 0.05]
+        for p, q in ((a, b), (b, a), (a, near), (near, a + b)):
+            assert text.edit_distance(np.array(p, np.int32), np.array(q, np.int32)) == plain(p, q)
+
+
+def test_word_errors_equal_the_plain_table(spark):
+    rows = [("the cat sat on a mat", "the cat sat mat on"), ("a b c d", "a c d e f"), ("x", "x")]
+    got = scoring.edits(spark.createDataFrame(rows, "reference string, prediction string"), normalise=False).collect()
+    assert [(r["word_edits"], r["ref_words"]) for r in got] == [(3, 6), (3, 4), (0, 1)]
+
+
+def test_compatibility_forms_and_white_space(spark):
+    assert one(spark, text.basic_normalised(F.lit("ﬁne ½ ＡＢＣ ①"), nfkc=True)) == "fine 1 2 abc 1"
+    assert one(spark, records.usable(F.lit("\t\u2003 x \n"))) == "x" and one(spark, records.usable(F.lit("\t\n\u2003"))) is None
+    assert one(spark, languages.known(F.lit("\t"))) == "unknown"
+    british = {"colour": "color", "organised": "organized"}
+    assert one(spark, text.english_normalised(F.lit("The colour was organised"), british)) == "the color was organized"
+
+
+def test_files_of_runs(spark, tmp_path):
+    import gzip
+
+    home = f"file://{tmp_path}"
+    assert manifests.read_metadata(spark, f"{home}/none") == {}
+    manifests.write_metadata(spark, f"{home}/meta", {"model": "m", "n": 3})
+    assert manifests.read_metadata(spark, f"{home}/meta") == {"model": "m", "n": 3}
+    next((tmp_path / "meta").glob("part-*")).write_text("{broken")
+    for f in (tmp_path / "meta").glob(".*.crc"):
+        f.unlink()
+    assert manifests.read_metadata(spark, f"{home}/meta") == {}
+    (tmp_path / "cuts").mkdir()
+    shard(tmp_path / "cuts", "cuts.000000.jsonl", [{"id": "a", "duration": 1.0}])
+    (tmp_path / "cuts" / "cuts.000001.jsonl.gz").write_bytes(gzip.compress(b'{"id": "b"}')[:-9])
+    assert [r["id"] for r in manifests.read_manifests(spark, [f"{home}/cuts"], unreadable="empty").collect()][:1] == ["a"]
+    with pytest.raises(Exception):  # noqa: B017  the reader's own error
+        manifests.read_manifests(spark, [f"{home}/cuts"]).collect()
+    for name in ("fleurs/de_de/train", "librispeech/clean/train", "odd/en/test", ".hidden/en/test"):
+        (tmp_path / "tree" / name).mkdir(parents=True)
+    with pytest.warns(UserWarning, match="odd"):
+        tree = manifests.dataset_tree(spark, f"{home}/tree", ("fleurs", "librispeech"))
+    assert [(e["dataset"], e["lang"]) for e in tree] == [("fleurs", "de"), ("librispeech", "en")]

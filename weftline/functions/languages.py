@@ -29,6 +29,18 @@ NAMES = {
 }
 
 
+# Folder names of languages that are no code themselves.
+FOLDERS = {
+    "de_de": "de", "en_us": "en", "es_419": "es", "es_es": "es", "fr_fr": "fr", "it_it": "it", "pt_br": "pt", "pt_pt": "pt",
+    "dutch": "nl", "english": "en", "french": "fr", "german": "de", "italian": "it", "polish": "pl", "portuguese": "pt", "spanish": "es",
+}
+
+
+def folder_language(name: Column) -> Column:
+    """Language code of a folder's name; an unknown name in lower case."""
+    return F.coalesce(lookup(FOLDERS, name), F.lower(name))
+
+
 def lookup(values: dict[str, str], key: Column) -> Column:
     """Value of a lower-cased key in a small fixed table, else null."""
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])[F.lower(key)]
@@ -39,6 +51,11 @@ def folded(code: Column) -> Column:
     return F.coalesce(lookup(LOCALES, code), code)
 
 
+def rewritten(code: Column) -> dict[str, Column]:
+    """A tag folded to its base language, with the original as ``region_code`` where folding changed it."""
+    return {"lang": folded(code), "region_code": F.when(folded(code) != code, code)}
+
+
 def language_name(code: Column, strict: bool = False) -> Column:
     """Display name; an unknown code fails if ``strict``, else comes back itself (null as '')."""
     found = lookup(NAMES, code)

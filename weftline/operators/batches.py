@@ -45,15 +45,15 @@ def bucket_of(duration: Column, bounds: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= duration)) if bounds else F.lit(0)
 
 
-def duration_batches(df: DataFrame, by: list[str], limit: float, batch_size: int | None = None, block: int = 64, drop_last: bool = False) -> DataFrame:
+def duration_batches(df: DataFrame, by: list[str], limit: float, batch_size: int | None = None, block: int | Column = 64, drop_last: bool = False) -> DataFrame:
     """Greedy batches of records in id order: a batch closes before the record that would pass ``limit``.
 
-    Batches form within (by, block of the id's hash), so a bucket that holds any share of the rows is dealt over many
-    tasks; with ``block`` 1 a bucket is one sequence.
+    Batches form within (by, block), so a bucket that holds any share of the rows is dealt over many tasks; blocks are
+    those of the id's hash, or a column's. With ``block`` 1 a bucket is one sequence.
     """
     kind = ", ".join(f"{c} {t}" for c, t in df.dtypes)
     groups = [*by, "batch_block"]
-    dealt = df.withColumn("batch_block", F.pmod(F.xxhash64("id"), F.lit(block)).cast("int"))
+    dealt = df.withColumn("batch_block", (F.pmod(F.xxhash64("id"), F.lit(block)) if isinstance(block, int) else block).cast("int"))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
@@ -71,7 +71,8 @@ def duration_batches(df: DataFrame, by: list[str], limit: float, batch_size: int
 def draw(spark_range: DataFrame, weights: list[tuple[str, float]], seed: int = 42) -> DataFrame:
     """For each position (column ``id``) a source with probability of its weight: a hash against cumulative shares."""
     total = sum(w for _, w in weights)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / float(1 << 52)).alias("u")
+    first = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 13)  # 52 bits that any engine can repeat
+    u = (F.conv(first, 16, 10).cast("double") / float(1 << 52)).alias("u")
     run, chosen = 0.0, F.lit(None).cast("string")
     steps = []
     for name, w in weights:

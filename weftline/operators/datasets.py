@@ -45,6 +45,13 @@ def resolve(spark: SparkSession, spec: str, split: str, limit: int | None = None
     return df if limit is None else df.orderBy(*order).limit(limit) if order else df.limit(limit)
 
 
+def sharded(df: DataFrame, shards: int, index: int, key: str = "id") -> DataFrame:
+    """One worker's share of a source: disjoint and complete over the indexes."""
+    if not 0 <= index < shards:
+        raise ValueError(f"no shard {index} of {shards}")
+    return df.where(F.pmod(F.col(key), F.lit(shards)) == index)
+
+
 def source_key(kind: str, path: str) -> str:
     return f"{'shar' if kind == 'lhotse_shar' else 'cuts'}::{path}"
 

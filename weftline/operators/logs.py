@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.order import carried, numbered
+
 
 def first_per_batch(df: DataFrame, order: str = "file_pos") -> DataFrame:
     """Of repeated (rank, worker, batch) entries the first."""
@@ -20,7 +22,7 @@ def exploded(batches: DataFrame) -> DataFrame:
 
 def positions(df: DataFrame, stream: list[str], order: str) -> DataFrame:
     """Adds the place of each row in its stream, from 0."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*stream).orderBy(order)).cast("long") - 1)
+    return numbered(df, stream, order)
 
 
 def split_position(step: int, accumulate: int, workers: int) -> int:
@@ -77,5 +79,4 @@ def noise_budget(replica: Column, factor: float, tolerance: float) -> Column:
 
 def last_good(df: DataFrame, value: str, stream: list[str], order: str) -> DataFrame:
     """Failed (null) batches replaced by the stream's last good one; leading failures stay null."""
-    run = Window.partitionBy(*stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(run))
+    return carried(df, value, stream, order)

@@ -42,6 +42,42 @@ def word_statistics(df: DataFrame, by: list[str], text: str = "text") -> DataFra
     )
 
 
+def length_statistics(df: DataFrame, sets: list[list[str]], keys: list[str]) -> DataFrame:
+    """Mean duration and word count with their median and deviation for each grouping set; '' stands for all.
+
+    ``df`` has duration and n_words. A deviation of fewer than two rows is 0.
+    """
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    out = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(k) for k in keys]).agg(
+        F.count("*").alias("num_cuts"),
+        zero(F.sum("duration") / 3600).alias("hours"),
+        zero(F.avg("duration")).alias("mean_seconds"),
+        F.coalesce(F.sum("n_words"), F.lit(0)).alias("total_words"),
+        zero(F.avg("n_words")).alias("mean_words"),
+        zero(F.median("n_words").cast("double")).alias("median_words"),
+        zero(F.stddev_samp("n_words")).alias("stdev_words"),
+        F.grouping_id().cast("long").alias("level"),
+    )
+    return out.select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], *out.columns[len(keys) :])
+
+
+def keyed_statistics(df: DataFrame, source: list[str]) -> DataFrame:
+    """Records and hours by task, language, language variant, pair and base pair; hours are rounded by source first."""
+    from weftline.functions.languages import base_language
+
+    hours = F.floor(F.round(F.sum("duration") * 100) / 36 + 0.5) / 10_000  # four places from hundredths of a second
+    each = df.groupBy(*source, "task", "lang", "src_lang", "tgt_lang").agg(F.count("*").alias("num_cuts"), hours.alias("hours"))
+    src, tgt = F.coalesce("src_lang", F.lit("en")), F.coalesce("tgt_lang", "lang", F.lit("unknown"))
+    pair = lambda a, b: F.concat(a, F.lit("->"), b)
+    kind = lambda name, key: F.struct(F.lit(name).alias("kind"), key.alias("key"))
+    task = kind("task", F.coalesce("task", F.lit("unknown")))
+    two = F.array(task, kind("pair", pair(src, tgt)), kind("base_pair", pair(base_language(src), base_language(tgt))))
+    lang = F.coalesce("lang", F.lit("unknown"))
+    one = F.array(task, kind("variant", lang), kind("language", base_language(lang)))
+    keyed = each.select(F.explode(F.when(F.col("task") == "st", two).otherwise(one)).alias("k"), "num_cuts", "hours")
+    return keyed.groupBy("k.kind", "k.key").agg(F.sum("num_cuts").alias("num_cuts"), F.round(F.sum("hours"), 4).alias("hours"))
+
+
 def histogram(df: DataFrame, value: Column, by: list[str], resolution: float = 0.01) -> DataFrame:
     """Counts by half-even rounded step; mergeable by key."""
     return df.groupBy(*by, F.rint(value / resolution).cast("long").alias("key")).agg(F.count("*").alias("n"))

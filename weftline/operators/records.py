@@ -92,6 +92,12 @@ def resolved_text(custom: Column, path: str | None, fallback: Column, strict: bo
     return blank if strict else F.when(found.isNotNull(), blank).otherwise(usable(fallback))
 
 
+def valid(df: DataFrame, text: Column, audio: Column | None = None) -> DataFrame:
+    """Records with some text and, where given, with audio that could be read."""
+    keep = usable(text).isNotNull()
+    return df.where(keep if audio is None else keep & audio.isNotNull())
+
+
 def strict_violations(df: DataFrame, custom: Column, path: str, fallback: Column) -> DataFrame:
     """Rows whose field is null or blank although a fallback exists."""
     return df.where(resolved_text(custom, path, fallback, strict=True).isNull() & usable(fallback).isNotNull())

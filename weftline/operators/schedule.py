@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from weftline.operators.order import numbered
 
 
 def resolved_seed(seed: int | str, indexed: bool, fallback: int = 0) -> int | str:
@@ -49,8 +50,21 @@ def coverage(emitted: DataFrame, key: str, total: int, stream: list[str]) -> Dat
 
 def chunked(df: DataFrame, size: int, by: list[str], order: str) -> DataFrame:
     """Fixed-size chunks within each group, in order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    return df.withColumn("chunk", F.floor(place / size).cast("long"))
+    return numbered(df, by, order, "chunk").withColumn("chunk", F.floor(F.col("chunk") / size).cast("long"))
+
+
+def chunk_report(chunks: DataFrame, by: list[str], result: Column) -> DataFrame:
+    """Rows and bad rows of each chunk: a row is bad where its ``result`` is null, which ``try_`` functions give instead of an error.
+
+    A bad row fails alone, so that no chunk has to be gone through again row by row.
+    """
+    return chunks.groupBy(*by, "chunk").agg(F.count("*").alias("rows"), F.count_if(result.isNull()).alias("bad"))
+
+
+def repeated(df: DataFrame, epochs: int, seed: int, key: str = "id") -> DataFrame:
+    """``epochs`` passes over a source, each in an order of its own: the bounded form of an endless source."""
+    passes = df.sparkSession.range(epochs).select(F.col("id").cast("int").alias("epoch"))
+    return df.join(F.broadcast(passes)).withColumn("order_key", F.xxhash64(F.lit(seed), "epoch", key))  # a row for each pass
 
 
 def evaluation_batch_size(size: int) -> int:

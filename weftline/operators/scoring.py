@@ -10,7 +10,7 @@ from weftline.functions.text import basic_normalised, long_char_edits, stripped,
 
 def edits(df: DataFrame, reference: str = "reference", prediction: str = "prediction", normalise: bool = True) -> DataFrame:
     """Adds word and character edits and the reference's lengths."""
-    ref, hyp = (basic_normalised(F.col(c)) if normalise else F.col(c) for c in (reference, prediction))
+    ref, hyp = (basic_normalised(F.col(c), nfkc=True) if normalise else F.col(c) for c in (reference, prediction))
     df = df.withColumn("e_ref", ref).withColumn("e_hyp", hyp).withColumn("e_rw", words(F.col("e_ref"))).withColumn("e_hw", words(F.col("e_hyp")))
     return df.select(
         "*",

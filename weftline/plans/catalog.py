@@ -36,10 +36,13 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from weftline.plans import reports  # registers its own
+
+    return dict(reports.registered())
 
 
 def oracles() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
 
 
@@ -276,7 +279,7 @@ def named_sets(spark, sf_dir):
 @query(f"SELECT doc_id, md5({BASIC.format('text')}) AS digest FROM documents")
 def basic_normalizer(spark, sf_dir):
     """X1."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.basic_normalised(F.col("text"))).alias("digest"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.basic_normalised(F.col("text"), nfkc=True)).alias("digest"))
 
 
 @query()
@@ -343,7 +346,8 @@ def vector_compare(spark, sf_dir):
     return e.join(f, "vec_id").select("vec_id", *[F.round(c, 5).alias(k) for k, c in scoring.vector_difference(F.col("x"), F.col("y")).items()])
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, list_transform(list_sort(list_zip(list_transform(embedding, lambda v: -v), range(len(embedding))))[1:10], lambda z: z[2]) AS best FROM embeddings)
+  SELECT a.vec_id, CAST(len(list_intersect(a.best, b.best)) AS INT) AS shared FROM e a JOIN e b ON a.vec_id + 1 = b.vec_id""")
 def top_overlap(spark, sf_dir):
     """Greatest places that neighbouring vectors share."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -377,17 +381,19 @@ def bucket_assign(spark, sf_dir):
     return records.durations(spark, sf_dir).select("id", batches.bucket_of(F.col("duration"), bounds).cast("long").alias("bucket"))
 
 
-@query(f"""WITH RECURSIVE {CUTS}, o AS (SELECT corpus, id, duration, row_number() OVER (PARTITION BY corpus ORDER BY id) AS p FROM cuts),
-  w AS (SELECT corpus, id, p, duration AS run, 0::BIGINT AS batch FROM o WHERE p = 1
-  UNION ALL SELECT o.corpus, o.id, o.p, CASE WHEN w.run + o.duration > 600 THEN o.duration ELSE w.run + o.duration END,
-  CASE WHEN w.run + o.duration > 600 THEN w.batch + 1 ELSE w.batch END FROM w JOIN o ON o.corpus = w.corpus AND o.p = w.p + 1) SELECT corpus, id, batch FROM w""")
+@query(f"""WITH RECURSIVE {CUTS}, o AS (SELECT corpus, id % 8 AS block, id, duration, row_number() OVER (PARTITION BY corpus, id % 8 ORDER BY id) AS p FROM cuts),
+  w AS (SELECT corpus, block, id, p, duration AS run, 0::BIGINT AS batch FROM o WHERE p = 1
+  UNION ALL SELECT o.corpus, o.block, o.id, o.p, CASE WHEN w.run + o.duration > 600 THEN o.duration ELSE w.run + o.duration END,
+  CASE WHEN w.run + o.duration > 600 THEN w.batch + 1 ELSE w.batch END FROM w JOIN o ON o.corpus = w.corpus AND o.block = w.block AND o.p = w.p + 1) SELECT corpus, id, block, batch FROM w""")
 def duration_batches(spark, sf_dir):
-    """Greedy batches in each corpus."""
+    """Greedy batches in each corpus and block of ids."""
     d = records.durations(spark, sf_dir).select("corpus", "id", "duration")
-    return batches.duration_batches(d, ["corpus"], 600.0, block=1).select("corpus", "id", "batch")
+    got = batches.duration_batches(d, ["corpus"], 600.0, block=F.col("id") % 8)
+    return got.select("corpus", "id", F.col("batch_block").cast("long").alias("block"), "batch")
 
 
-@query()
+@query("""WITH u AS (SELECT CAST('0x' || substr(md5('42:' || id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM range(20000) t(id)),
+  d AS (SELECT CASE WHEN u < 0.125 THEN 'a' WHEN u < 0.5 THEN 'b' ELSE 'c' END AS source FROM u) SELECT source, count(*) AS n, round(count(*) / 20000, 6) AS share FROM d GROUP BY 1""")
 def mixture_draw_shares(spark, sf_dir):
     """20,000 draws, one share per source."""
     drawn = batches.draw(spark.range(20_000), [("a", 0.125), ("b", 0.375), ("c", 0.5)])
@@ -590,7 +596,9 @@ def prompt_render(spark, sf_dir):
     return d.select("doc_id", prompts.rendered(prompts.chosen_template("asr", F.col("doc_id"), "with_language"), {"audio_token": F.lit("<audio>"), "lang": F.col("lang")}).alias("prompt"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, turn, range(10, turn % 5 + 11) AS body FROM conversations)
+  SELECT conv_id, turn, '[-100,1,2,' || array_to_string(body, ',') || ',4,-100]' AS labels,
+  '[-100,1,2,' || array_to_string(body, ',') || ',4,-100' || repeat(',-100', 7 - len(body)::INT) || ']' AS padded FROM c""")
 def label_mask(spark, sf_dir):
     """Spans kept, special ids masked, padded."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.array(F.lit(9), F.lit(1), F.lit(2)), F.transform(F.sequence(F.lit(10), (F.col("turn") % 5 + 10).cast("int")), lambda x: x), F.array(F.lit(4), F.lit(9))).alias("ids"))
@@ -636,11 +644,13 @@ def check_status(spark, sf_dir):
     return checks.status(e.select(F.when(m == 0, "W1").otherwise(F.col("event_type")).alias("check"), F.when(m == 0, "FAIL").when(m == 1, "WARN").otherwise("OK").alias("severity")))
 
 
-@query()
+SAID = {"twenty one": "21", "one hundred and five dollars": "$105", "three point one four": "3.14", "fifty percent": "50%", "double seven five": "775", "two and a half": "2.5", "twenty first": "21st"}
+
+
+@query("SELECT said, expected, expected AS digits FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SAID.items()) + ") t(said, expected)")
 def number_words(spark, sf_dir):
     """X5 on generated phrases."""
-    said = [("twenty one", "21"), ("one hundred and five dollars", "$105"), ("three point one four", "3.14"), ("fifty percent", "50%"), ("double seven five", "775"), ("two and a half", "2.5"), ("twenty first", "21st")]
-    return spark.createDataFrame([(a, b, numbers.digits(a)) for a, b in said], "said string, expected string, digits string")
+    return spark.createDataFrame([(a, b, numbers.digits(a)) for a, b in SAID.items()], "said string, expected string, digits string")
 
 
 @query("""WITH g AS (SELECT o_orderpriority AS name, o_custkey % 10 AS part, count(*) AS n FROM orders GROUP BY ALL)
