@@ -93,12 +93,12 @@ def repeated_epochs(spark, sf_dir):
 
 
 @query(f"""WITH {CUTS}, s AS (SELECT lang, corpus, sum(duration) / 3600 AS h FROM cuts GROUP BY ALL), l AS (SELECT *, sum(h) OVER (PARTITION BY lang) AS of FROM s)
-  SELECT row_number() OVER (ORDER BY round(of, 6) DESC, lang, round(h, 6) DESC, corpus) AS place, printf('%-6s %-12s %10.2f h %6.2f %%', lang, corpus, round(h, 6), round(100 * h / of, 4)) AS line FROM l""")
+  SELECT row_number() OVER (ORDER BY round(of, 6) DESC, lang, round(h, 6) DESC, corpus) AS place, printf('%-6s %-12s %10.2f h %6.2f %%', lang, corpus, h, 100 * h / of) AS line FROM l""")
 def report_table(spark, sf_dir):
     """Languages by hours, their sources by hours, as lines of a table."""
     s = records.durations(spark, sf_dir).groupBy("lang", "corpus").agg((F.sum("duration") / 3600).alias("h")).withColumn("of", F.sum("h").over(Window.partitionBy("lang")))
     order = Window.orderBy(F.desc(F.round("of", 6)), "lang", F.desc(F.round("h", 6)), "corpus")  # a report's rows
-    return s.select(F.row_number().over(order).cast("long").alias("place"), F.format_string("%-6s %-12s %10.2f h %6.2f %%", "lang", "corpus", F.round("h", 6), F.round(100 * F.col("h") / F.col("of"), 4)).alias("line"))
+    return s.select(F.row_number().over(order).cast("long").alias("place"), F.format_string("%-6s %-12s %10.2f h %6.2f %%", "lang", "corpus", F.col("h"), 100 * F.col("h") / F.col("of")).alias("line"))
 
 
 # configuration checks
