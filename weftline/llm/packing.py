@@ -37,9 +37,9 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Multiway differencing: items (by index) in ``k`` windows of near-equal sums.
 
     The two partial partitions of largest spread are merged, the fullest window of one with the emptiest of the other,
-    until one is left. Items of one size wait as a group: as long as a partial partition's spread is larger, it takes
-    them one by one into its emptiest window; once the group leads, each ``k`` of its items level all windows and the
-    rest are a partial partition. Partial partitions hold their used windows only, in falling order, so that memory
+    until one is left. Items of one size are a partial partition with a window each; if they are more than ``k``, they
+    wait as a group: as long as a partial partition's spread is larger, it takes them one by one into its emptiest
+    window; once the group leads, each ``k`` of its items level all windows and the rest are a partial partition. Partial partitions hold their used windows only, in falling order, so that memory
     stays in proportion to the items.
     """
     size = np.asarray(sizes, np.int64)
@@ -71,7 +71,9 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
                 push(np.full(len(rest), one), rest, rest.copy())
             continue
         spread, first, one, s2, h2, t2 = heapq.heappop(heap)
-        if one:
+        if one and len(s2) <= k:  # a window each
+            s2, h2, t2 = np.full(len(s2), one), s2, s2.copy()
+        elif one:
             s, head, tail = (np.concatenate([x, np.full(k - len(x), v)]) for x, v in ((s1, 0), (h1, -1), (t1, -1)))
             low, top, taken = [(int(x), j) for j, x in enumerate(s)], int(s[0]), 0
             heapq.heapify(low)
