@@ -202,6 +202,11 @@ def test_streams(spark, tmp_path):
     for k in range(2):
         streaming.append_new(stream, out, str(tmp_path / f"ck{k}")).start().awaitTermination()
     assert spark.read.json(out).count() == 3
+    more = [("c", "x", 1.0), ("d", "x", 1.0), ("d", "x", 1.0)]
+    spark.createDataFrame(more, "id string, key string, duration double").coalesce(1).write.mode("append").parquet(str(src))
+    for k in (0, 2):  # a restart of the first query, and a new one
+        streaming.append_new(stream, out, str(tmp_path / f"ck{k}")).start().awaitTermination()
+        assert sorted(r["id"] for r in spark.read.json(out).collect()) == ["a", "b", "c", "d"]
 
 
 def test_yaml_edits():

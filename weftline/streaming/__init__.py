@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +14,24 @@ def seen_hours(stream: DataFrame, key, seconds: str = "duration") -> DataFrame:
 
 
 def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "id"):
-    """Appends rows whose key is not yet among the results, batch by batch; a restarted query resumes."""
+    """Appends rows whose key is not yet among the results; a restarted query resumes.
+
+    Keys of results that are there at the start are written once beside the checkpoint; keys of this query are in its
+    state, so that a micro-batch never reads what the query itself has written. A batch that was written but not
+    committed before a stop is among the results at the restart.
+    """
+    spark = stream.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = None
+    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        known = f"{checkpoint.rstrip('/')}-known/{uuid.uuid4().hex}"
+        spark.read.schema(stream.schema).json(path).select(key).distinct().write.parquet(known)
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-        new = batch.dropDuplicates([key])
-        if there:
-            new = new.join(spark.read.schema(batch.schema).json(path).select(key), key, "left_anti")
+        new = batch if known is None else batch.join(batch.sparkSession.read.parquet(known), key, "left_anti")
         new.select(*batch.columns).write.mode("append").json(path)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, time: str, within: str = "10 minutes") -> DataFrame:
