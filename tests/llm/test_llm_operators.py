@@ -80,6 +80,13 @@ def test_token_counts_equal_the_library(docs, nothing):
     assert token_counts.count_tokens(nothing, WORD).count() == 0
 
 
+def test_token_counts_of_every_code_point():
+    """Letters that Python's Unicode tables know and the library's do not, and the other way round, count as there."""
+    texts = ["a" + chr(c) + "b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    want = [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.count_cache(WORD).counts(texts) == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x2FF), max_size=60))
 def test_word_vocab_counts_and_ids_on_any_text(text):

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from weftline.llm.common import ChunkCache, slices, texts
-from weftline.llm.word_vocab import RAW, pretokens, signs, spec, split
+from weftline.llm.word_vocab import RAW, signed_pretokens, signs, spec, split
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -66,16 +66,16 @@ def counter(path: str):
     ranks, suffix = merges(path), spec(path)["model"]["end_of_word_suffix"]
     special = re.compile("|".join(re.escape(t["content"]) for t in spec(path)["added_tokens"]))
 
-    def one(piece: str) -> int:
-        symbols = list(signs(piece))
+    def one(signed: str) -> int:
+        symbols = list(signed)
         symbols[-1] += suffix
         return merged_count(symbols, ranks)
 
     def count(piece: str) -> int:
         if piece[0] != RAW:
-            return one(piece)
+            return one(signs(piece))
         parts = special.split(piece[1:])
-        return len(parts) - 1 + sum(one(p) for part in parts for p in pretokens(part))
+        return len(parts) - 1 + sum(one(p) for part in parts for p in signed_pretokens(path, part))
 
     return lambda unseen: [count(p) for p in unseen]
 

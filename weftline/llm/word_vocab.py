@@ -1,14 +1,12 @@
-"""The word-end vocabulary (lower case, white space dropped): pre-tokens in Python, ids by the tokenizers library."""
+"""The word-end vocabulary (lower case, white space dropped): plain pre-tokens in Python, others and all ids by the tokenizers library."""
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from functools import cache
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 from weftline.llm.common import ChunkCache, chunks
@@ -19,7 +17,6 @@ _LATIN = re.compile(rf"{CONTRACTIONS}|[a-zß-öø-ÿĀ-ſ]+|[0-9]|[^ \t\n\ra-z0-
 _ODD = re.compile(r"[^ \t\n\r!-~À-ÖØ-öø-įĲ-ſ]|<\|")
 #: Marks a chunk that the library has to see as it is; no simple pre-token holds this sign.
 RAW = "\x00"
-_ANY = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+")
 
 
 @cache
@@ -36,11 +33,6 @@ def signs(piece: str) -> str:
     return "".join(byte_signs()[b] for b in piece.encode("utf-8"))
 
 
-def lower(text: str) -> str:
-    """Lower case of each character by itself (no final sigma)."""
-    return text.lower() if text.isascii() else "".join(c.lower() for c in text)
-
-
 def is_simple(text: str) -> bool:
     """Only visible ASCII, Latin letters and plain white space: normalisation changes nothing but the case."""
     return _ODD.search(text) is None
@@ -59,19 +51,17 @@ def split(text: str) -> list[str]:
     return out
 
 
-def pretokens(chunk: str) -> list[str]:
-    """Normalised pre-tokens of one chunk that holds no special string."""
-    if is_simple(chunk):
-        return _LATIN.findall(chunk.lower())
-    text = lower(regex.sub(r"\s+", " ", unicodedata.normalize("NFC", chunk)))
-    return _ANY.findall(text)
-
-
 @cache
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def signed_pretokens(path: str, chunk: str) -> list[str]:
+    """Pre-tokens, in byte signs, of one chunk that holds no special string, by the library's own Unicode tables."""
+    whole = tokenizer(path)
+    return [p for p, _ in whole.pre_tokenizer.pre_tokenize_str(whole.normalizer.normalize_str(chunk))]
+
+
 @cache
 def spec(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
