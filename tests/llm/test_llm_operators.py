@@ -84,7 +84,18 @@ def test_token_counts_of_every_code_point():
     """Letters that Python's Unicode tables know and the library's do not, and the other way round, count as there."""
     texts = ["a" + chr(c) + "b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     want = [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
-    assert token_counts.count_cache(WORD).counts(texts) == want
+    assert list(token_counts.count_cache(WORD).counts(texts)) == want
+
+
+def test_token_count_cache_is_bounded_by_signs():
+    """Long distinct chunks go once the weight is reached, though there are few; the counts stay right."""
+    cache = token_counts.CountCache(word_vocab.split, token_counts.counter(WORD), weight=4000)
+    rng = random.Random(8)
+    for _ in range(30):
+        texts = ["of the nation " + "".join(rng.choice("abcdefgh") for _ in range(500)) for _ in range(4)]
+        assert list(cache.counts(texts)) == [len(library_ids(t)) for t in texts]
+        assert cache.signs == sum(map(len, cache.code)) <= 4000 + 4 * 514
+    assert "nation" in cache.code
 
 
 @settings(max_examples=100, deadline=None)

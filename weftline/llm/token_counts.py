@@ -88,12 +88,14 @@ class CountCache(ChunkCache):
         self.size = np.concatenate([self.size, np.array([getattr(x, "size", x) for x in ids], np.int64)])
         self.start = np.zeros(len(self.size), np.int64)
         self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
+        self.signs += sum(map(len, names))
         self.code.update(zip(names, range(base, base + len(names)), strict=True))
 
     def _shrink(self) -> None:
         names, keep = list(self.code), np.flatnonzero(self.seen > 1)
-        if len(keep) > self.limit // 2:
-            keep = keep[np.argsort(-self.seen[keep], kind="stable")[: self.limit // 2]]
+        keep = keep[np.argsort(-self.seen[keep], kind="stable")[: self.limit // 2]]
+        heavy = np.cumsum([len(names[k]) for k in keep])
+        keep = keep[: np.searchsorted(heavy, self.weight // 2, side="right")]
         counts, seen = [int(self.size[k]) for k in keep], self.seen[keep] // 2
         self._reset()
         self._add([names[k] for k in keep], counts)
