@@ -6,7 +6,8 @@ bits. For each run, a vantage-point tree with fixed vantage points deals fingerp
 child is the Hamming distance to the vantage point. By the triangle bound a partner lies in a child whose distance
 differs by no more than one, on all levels together as the change of some single bit gives; so a fingerprint is stored
 in its own leaf and queried in those boundary-overlapping leaves, no pair is lost, and copies stay below one per bit
-and run whatever the depth. The depth grows with the logarithm of the number of fingerprints. Inside a shard a further
+and run whatever the depth. The depth grows with the logarithm of the number of fingerprints, so that the fullest leaf
+of an even tree stays at a shard's size with its queries counted. Inside a shard a further
 vantage-point tree over all 64 bits prunes by the same bound, and exact distances decide.
 
 A leaf of more than ``HOT`` shard sizes (near copies fall together) is cut into blocks, stored ones against queries,
@@ -37,7 +38,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import drop_since, drop_written, mark_written, slices, texts, written
 
-WORDS, RADIUS, SHARD, HOT, SPREAD = 4, 4, 4096, 2, 200
+WORDS, RADIUS, SHARD, HOT, SPREAD = 4, 4, 32_768, 2, 200
+#: Copies that the fullest leaf of a tree takes, as a share of the fingerprints: this times ``NARROWS`` for each level
+#: (distances to a vantage point crowd in the middle, and each level adds boundary-overlapping leaves to a query).
+FULLEST, NARROWS, ONE_LEAF, LEAST_LEVELS = 0.88, 0.53, 4096, 3
 #: Rows that a dropped row's key or a hot leaf may take in a broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,15 +170,22 @@ class Forest:
         return r
 
 
+def levels_for(n: int, shard: int = SHARD) -> int:
+    """Levels at which the fullest leaf of ``n`` fingerprints holds about ``shard`` rows, those of queries included."""
+    if n <= min(shard, ONE_LEAF):
+        return 0
+    return min(10, max(LEAST_LEVELS, math.ceil(math.log(FULLEST * n / shard) / -math.log(NARROWS))))
+
+
 def links(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links between fingerprints (a, b), a star per component and shard; their closure is that of all near pairs."""
-    levels = min(10, max(0, math.ceil(math.log(max(n / shard, 1), 6))))
+    levels = levels_for(n, shard)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            for at in range(0, len(fp), 1 << 14):
-                some = fp[at : at + (1 << 14)]
+            for at in range(0, len(fp), 1 << 13):
+                some = fp[at : at + (1 << 13)]
                 place, leaf, own = leaves(some, levels, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(some[place].view(np.int64)), pa.array(own)], names=["leaf", "fp", "own"])
 
