@@ -529,6 +529,42 @@ def test_components_of_long_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and all(got[100 + i] == 100 for i in range(1, 60)) and got[500] == 499
 
 
+def leaves_of_plans(module, monkeypatch):
+    """Takes the name of every table that the module writes and the number of tables in its plan."""
+    seen, write = [], module.written
+
+    def written(df, name):
+        seen.append((name, df._jdf.queryExecution().analyzed().collectLeaves().size()))
+        return write(df, name)
+
+    monkeypatch.setattr(module, "written", written)
+    return seen
+
+
+def test_rounds_of_stars_keep_plans_small(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(12)] + [(100, 100 + i) for i in range(1, 60)] + [(500, 499)]
+    seen = leaves_of_plans(simhash, monkeypatch)
+    for hot, most in ((simhash.HOT, 4), (0, 10)):  # plain joins, then those that take hot keys by broadcast
+        monkeypatch.setattr(simhash, "HOT", hot)
+        seen.clear()
+        mark = common.mark_written()
+        found = simhash.components(spark.createDataFrame(edges, "a long, b long"))
+        got = {r["node"]: r["root"] for r in found.collect()}
+        assert got == {i: 0 for i in range(1, 13)} | {100 + i: 100 for i in range(1, 60)} | {500: 499}
+        assert len(common._MADE) == mark + 1 and max(n for _, n in seen) <= most
+        common.drop_since(mark, None)
+
+
+def test_steps_of_the_estimate_keep_plans_small(spark, monkeypatch):
+    rng = random.Random(3)
+    data = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(60, 200))), "en", "ab"[i % 2]) for i in range(200)]
+    stats = quality_rules.statistics_table(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"))
+    seen = leaves_of_plans(quality_rules, monkeypatch)
+    assert quality_rules.fit(stats)[0].count() == 2
+    assert {n for name, n in seen if name == "edges"} == {3}  # the rows, and the groups twice
+    assert common._MADE[-2] is stats
+
+
 def labelled(spark, n=600):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("aeioutrnsl") for _ in range(rng.randrange(3, 9))) for _ in range(300)]

@@ -225,8 +225,8 @@ def starts(good: DataFrame) -> DataFrame:
     )
     parts = []
     for k, (centre, of) in enumerate(ways):
-        parts.append(factored(both.select(*KEY, F.lit(k).alias("q_start"), (F.col(centre) if isinstance(centre, str) else centre).alias("q_m"), *[c.alias(n) for n, c in covariance(of).items()])))
-    out = written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "estimates")
+        parts.append(F.struct(F.lit(k).alias("q_start"), (F.col(centre) if isinstance(centre, str) else centre).alias("q_m"), *[c.alias(n) for n, c in covariance(of).items()]))
+    out = written(factored(both.select(*KEY, F.inline(F.array(*parts)))), "estimates")
     drop_written(both)
     return out
 
@@ -253,13 +253,11 @@ def estimated(core: DataFrame, factor: float) -> DataFrame:
 
 
 def step(stats: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
-    """One concentration step for each estimate."""
+    """One concentration step for each estimate, not written yet; it reads a table of edges."""
     near = distances(stats, groups, n_groups).withColumn("bin", binned())
     edge = quantiles(near.groupBy(*ESTIMATE, "bin").agg(F.count("*").alias("n")), ESTIMATE, {"edge": CORE})
     both = written(groups.join(edge.select(*ESTIMATE, "edge"), ESTIMATE), "edges")
-    out = written(estimated(distances(stats, both, n_groups).where(binned() <= F.col("edge")), consistency(CORE)), "estimates")
-    drop_written(both)
-    return out
+    return estimated(distances(stats, both, n_groups).where(binned() <= F.col("edge")), consistency(CORE))
 
 
 def pools(stats: DataFrame) -> DataFrame:
@@ -287,11 +285,13 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     n_plan = plan.count()
     good = attach(stats.where(~F.col("q_base_failed")), plan.select(*KEY, "into"), n_plan)
     good = good.withColumn("into", F.explode("into")).withColumns({k: F.col(f"into.{k}") for k in KEY}).drop("into")
-    good = good.select(*KEY, "q_x")
+    # every step reads them twice, so that they are written without their groups' join
+    good = written(good.select(*KEY, "q_x"), "passing")
     since = mark_written()
     groups = starts(good)
     for _ in range(FIRST_STEPS):
-        groups = step(good, groups, n_plan)
+        groups = written(step(good, groups, n_plan), "estimates")
+        drop_since(since, groups)
     rank = F.struct("q_det", "q_start")
     best = groups.groupBy(*KEY).agg(*[F.min_by(c, rank).alias(c) for c in ("q_start", "q_m", "q_l", "q_det")])
     best = moving = written(best, "estimates")

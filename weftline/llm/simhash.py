@@ -214,11 +214,14 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD)
     return blocks.groupBy("leaf", "i", "j").applyInPandas(search, "a long, b long")
 
 
-def by_key(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+def by_key(left: DataFrame, right: DataFrame, key: str, total: int, alone: int = 0) -> DataFrame:
     """``left`` joined with ``right``, which has a row per key and in ``n`` the rows of ``left`` with it.
 
-    Keys with over one in ``SPREAD`` of ``total`` rows are ``SPREAD`` at most and go by broadcast.
+    Keys with over one in ``SPREAD`` of ``total`` rows are ``SPREAD`` at most and go by broadcast, unless ``total``
+    is no more than what one task may hold ``alone``.
     """
+    if total <= alone:
+        return left.join(right, key).drop("n")
     hot = F.broadcast(right.where(F.col("n") * SPREAD > total))
     rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") * SPREAD <= total), key)
     return left.join(hot, key).unionByName(rest).drop("n")
@@ -227,22 +230,25 @@ def by_key(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge: alternating large-star and small-star until the stars stay the same."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    size = now.count()
+    summed = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    digest = summed(now)
     n = F.count("*").alias("n")
     for _ in range(rounds):
         # large star: every greater neighbour of a node goes to the node's smallest neighbour
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n")
-        large = by_key(both, least, "u", 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = by_key(both, least, "u", 2 * digest[0], HOT * SHARD).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # written, else the plan of a round holds this one's for each use below
+        large = written(large, "large")
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), n)
-        small = by_key(large, least, "u", 2 * size)
+        small = by_key(large, least, "u", 2 * digest[0], HOT * SHARD)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = written(small.where("u <> v").distinct(), "stars")
-        digest = [t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for t in (now, new)]
+        drop_written(large)
         drop_written(now)
-        now, size = new, digest[1][0]
-        if digest[0] == digest[1]:
+        before, now, digest = digest, new, summed(new)
+        if before == digest:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError("the components did not settle")
 
