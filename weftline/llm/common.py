@@ -114,11 +114,12 @@ class ChunkCache:
 
     ``resolve`` maps unseen chunks to lists of ids, or to all ids in a row and how many each chunk has. Past ``limit``
     entries or ``weight`` signs and ids, those seen only once go and the commonest stay up to half of either bound, so
-    that the memory does not grow with the input; between two prunings one slice of texts is added at most.
+    that the memory does not grow with the input; between two prunings one slice of texts is added at most. ``pieces``
+    splits all texts at once: distinct chunks, the place of each chunk among them, and how many each text has.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], resolve: Callable[[list[str]], Iterable], limit: int = 300_000, weight: int = 32 << 20):
-        self.split, self.resolve, self.limit, self.weight = split, resolve, limit, weight
+    def __init__(self, split: Callable[[str], list[str]], resolve: Callable[[list[str]], Iterable], limit: int = 300_000, weight: int = 32 << 20, pieces: Callable | None = None):
+        self.split, self.resolve, self.limit, self.weight, self.pieces = split, resolve, limit, weight, pieces
         self._reset()
 
     def _reset(self) -> None:
@@ -156,10 +157,17 @@ class ChunkCache:
         self.code.update(zip(names, range(base, base + len(names)), strict=True))
         self.used += more
 
-    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The chunk codes of all texts in a row, and how many each text has."""
         if len(self.code) > self.limit or self.signs + self.used > self.weight:
             self._shrink()
+        if self.pieces:
+            names, at, n = self.pieces(texts)
+            if unseen := [p for p in names if p not in self.code]:
+                self._add(unseen, self.resolve(unseen))
+            code = np.fromiter(map(self.code.__getitem__, names), np.int64, len(names))[at]
+            self.seen += np.bincount(code, minlength=len(self.seen))
+            return code, n
         parts = [self.split(t) for t in texts]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         every = list(chain.from_iterable(parts))
@@ -176,7 +184,7 @@ class ChunkCache:
         code, n = self.codes(texts)
         return group_sums(self.size[code], n)
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and how many each text has."""
         code, n = self.codes(texts)
         size = self.size[code]

@@ -193,7 +193,7 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, capacity: int = CA
 
         for batch in batches:
             for part in slices(batch):
-                flat, n = encode_texts(part.column("text").to_pylist(), path, end_id)
+                flat, n = encode_texts(part.column("text"), path, end_id)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), np.split(flat, np.cumsum(n)[:-1]), strict=True):
                     packer.add(doc, ids)
                 yield from out(False)

@@ -184,7 +184,7 @@ def tokenized(docs: DataFrame, ranges: Ranges, path: str, end_id: int) -> DataFr
         row = 0
         for batch in batches:
             for part in slices(batch):
-                flat, n = encode_texts(part.column("text").to_pylist(), path, end_id)
+                flat, n = encode_texts(part.column("text"), path, end_id)
                 wide = 2 if not len(flat) or flat.max() < 1 << 16 else 4
                 end = np.concatenate([[0], np.cumsum(n) * wide]).astype(np.int32)
                 image = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(end), pa.py_buffer(flat.astype(f"<u{wide}"))])

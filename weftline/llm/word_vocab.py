@@ -1,4 +1,4 @@
-"""The word-end vocabulary (lower case, white space dropped): plain pre-tokens in Python, others and all ids by the tokenizers library."""
+"""The word-end vocabulary (lower case, white space dropped): plain pre-tokens by their bytes, others and all ids by the tokenizers library."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from weftline.llm.common import ChunkCache, chunks
@@ -17,6 +19,10 @@ _LATIN = re.compile(rf"{CONTRACTIONS}|[a-zß-öø-ÿĀ-ſ]+|[0-9]|[^ \t\n\ra-z0-
 _ODD = re.compile(r"[^ \t\n\r!-~À-ÖØ-öø-įĲ-ſ]|<\|")
 #: Marks a chunk that the library has to see as it is; no simple pre-token holds this sign.
 RAW = "\x00"
+#: Kinds of bytes: white space, letters (both bytes of those beyond ASCII), digits, other visible signs, and those of odd chunks only.
+BLANK, LETTER, DIGIT, OTHER, STRANGE = range(5)
+#: Unseen pre-tokens per call of the library.
+LOT = 16_384
 
 
 @cache
@@ -51,6 +57,66 @@ def split(text: str) -> list[str]:
     return out
 
 
+@cache
+def byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kind and lower case of each byte; of the letters of two bytes (first byte C3 to C5), whether they are odd, and their lower case."""
+    kind = np.full(256, STRANGE, np.uint8)
+    kind[0x21:0x7F] = OTHER
+    kind[list(b" \t\n\r")] = BLANK
+    kind[list(b"0123456789")] = DIGIT
+    kind[0x41:0x5B] = kind[0x61:0x7B] = kind[0x80:0xC0] = kind[0xC3:0xC6] = LETTER
+    letters = [chr(c) for c in range(0xC0, 0x180)]
+    odd = np.array([not is_simple(c) for c in letters])
+    lower = np.array([list((c if o else c.lower()).encode()) for c, o in zip(letters, odd, strict=True)], np.uint8)
+    return kind, np.frombuffer(bytes(range(256)).lower(), np.uint8), odd, lower
+
+
+def pieces(texts: list[str] | pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``split`` of many texts at once, by their bytes: the distinct pieces, the place of each piece among them, and how many each text has."""
+    given = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    if not len(given):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # a line feed after each text and one more: no piece spans two texts, and two bytes follow every sign
+    rows = pa.ListArray.from_arrays(pa.array([0, len(given)], pa.int32()), given)
+    raw = np.frombuffer(pc.binary_join(rows, "\n")[0].as_buffer().to_pybytes() + b"\n\n", np.uint8)
+    first = np.cumsum(size := pc.binary_length(given).to_numpy().astype(np.int64) + 1) - size
+    kinds, lowered, odd, pairs = byte_tables()
+    kind, text = kinds[raw], lowered[raw]
+    lead = np.flatnonzero((raw >= 0xC3) & (kind == LETTER))
+    pair = (raw[lead].astype(np.int64) - 0xC3 << 6) + (raw[lead + 1] & 0x3F)
+    text[lead], text[lead + 1] = pairs[pair, 0], pairs[pair, 1]
+    bar = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+    strange = np.concatenate([np.flatnonzero(kind == STRANGE), lead[odd[pair]], bar])
+    if len(strange):  # their chunks stay whole, as they are written
+        blank = np.flatnonzero(kind == BLANK)
+        last = np.unique(np.searchsorted(blank, strange))
+        step = np.zeros(len(raw), np.int8)
+        step[np.where(last > 0, blank[last - 1] + 1, 0)] = 1
+        step[blank[last]] = -1
+        whole = np.cumsum(step, dtype=np.int8).view(bool)
+        kind[whole], text[whole] = STRANGE, raw[whole]
+    keep = kind != BLANK
+    start = kind == DIGIT
+    start[0] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    start &= keep
+    quote = np.flatnonzero(text == ord("'"))
+    quote = quote[start[quote] & (kind[quote + 1] == LETTER)]
+    one, two = text[quote + 1], text[quote + 2]
+    tail = np.where(np.isin(one, list(b"stmd")), 1, 0) + 2 * (np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    quote, tail = quote[tail > 0], tail[tail > 0]
+    start[quote + 1] = False
+    after = quote + 1 + tail
+    start[after[kind[after] == LETTER]] = True
+    data = text[keep]
+    ends = np.append(np.flatnonzero(start[keep]), len(data)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+    names = found.dictionary.to_pylist()
+    if len(strange):
+        names = [p if is_simple(p) else RAW + p for p in names]
+    return names, found.indices.to_numpy(), np.add.reduceat(start, first, dtype=np.int64)
+
+
 @cache
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
@@ -71,13 +137,28 @@ def spec(path: str) -> dict:
 def resolver(path: str):
     """Ids of unseen pre-tokens by the library's merges; the whole library for raw chunks."""
     whole = tokenizer(path)
-    model = whole.model
-
-    def resolve(unseen: list[str]) -> list:
-        return [
-            whole.encode(p[1:], add_special_tokens=False).ids if p[0] == RAW else [t.id for t in model.tokenize(signs(p))]
-            for p in unseen
-        ]
+    merges = Tokenizer(whole.model)  # the model alone
+    sign = np.array([ord(s) for s in byte_signs()], "<u2")
+    sign[ord("\n")] = ord("\n")  # no pre-token holds one
+
+    def simple(unseen: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        signed = sign[np.frombuffer("\n".join(unseen).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
+        got = [merges.encode(signed[i : i + LOT], is_pretokenized=True, add_special_tokens=False) for i in range(0, len(signed), LOT)]
+        sizes = [np.bincount(e.word_ids, minlength=min(LOT, len(signed) - i * LOT)) for i, e in enumerate(got)]
+        return np.concatenate([np.array(e.ids, np.int32) for e in got]), np.concatenate(sizes)
+
+    def resolve(unseen: list[str]) -> tuple[np.ndarray, np.ndarray] | list:
+        raw = [i for i, p in enumerate(unseen) if p[0] == RAW]
+        if not raw:
+            return simple(unseen)
+        out: list = [[]] * len(unseen)
+        if plain := [i for i, p in enumerate(unseen) if p[0] != RAW]:
+            ids, sizes = simple([unseen[i] for i in plain])
+            for i, row in zip(plain, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                out[i] = row.tolist()
+        for i in raw:
+            out[i] = whole.encode(unseen[i][1:], add_special_tokens=False).ids
+        return out
 
     return resolve
 
@@ -85,10 +166,10 @@ def resolver(path: str):
 @cache
 def id_cache(path: str) -> ChunkCache:
     """One per Python worker."""
-    return ChunkCache(split, resolver(path))
+    return ChunkCache(split, resolver(path), pieces=pieces)
 
 
-def encode_texts(texts: list[str], path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str] | pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each text closed by ``end_id`` if given, and how many each has."""
     flat, n = id_cache(path).ids(texts)
     if end_id is None:
