@@ -105,6 +105,43 @@ def test_word_vocab_counts_and_ids_on_any_text(text):
     assert list(ids) == library_ids(text) and n[0] == token_counts.count_cache(WORD).counts([text])[0] == len(ids)
 
 
+def test_pieces_of_many_texts_are_those_of_each():
+    """By bytes as by pattern, with plain and odd signs, contractions, capitals of two bytes, and texts without a piece."""
+    rng = random.Random(11)
+    parts = ["I'LL", "we've", "'sun", "''s", "don't7", "ÉTÉ été", "Über", "ŸſK", "a×b", "İx", "<|x|>", "< |", "日本 x", "a1b22", "\t\r\n", "", " ", "…'s", "é'Re"]
+    for signs in (parts[:8], parts):
+        texts = ["".join(rng.choice(signs) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(9))) for _ in range(300)]
+        for given_texts in (texts, ["", " \n"], [""], []):
+            names, at, n = word_vocab.pieces(given_texts)
+            assert len(set(names)) == len(names)
+            assert [[names[k] for k in row] for row in np.split(at, np.cumsum(n)[:-1])][: len(given_texts)] == [word_vocab.split(t) for t in given_texts]
+            flat, sizes = word_vocab.encode_texts(given_texts, WORD, None)
+            assert [list(x) for x in np.split(flat, np.cumsum(sizes)[:-1])][: len(given_texts)] == [library_ids(t) for t in given_texts]
+
+
+def test_plain_texts_take_no_pattern_search_and_no_offsets(monkeypatch):
+    """What op8's CPU seconds went into: looks at each name, and offsets that the library tracks for nothing."""
+    real = Tokenizer(word_vocab.tokenizer(WORD).model)
+
+    class Fast:
+        def __init__(self, model):
+            pass
+
+        def __setattr__(self, name, value):
+            setattr(real, name, value)
+
+        def encode_batch_fast(self, *given, **how):
+            return real.encode_batch_fast(*given, **how)
+
+    word_vocab.byte_tables()
+    for name, value in (("is_simple", None), ("_ODD", None), ("Tokenizer", Fast)):
+        monkeypatch.setattr(word_vocab, name, value)
+    cache = word_vocab.ChunkCache(word_vocab.split, word_vocab.resolver(WORD), pieces=word_vocab.pieces)
+    texts = [f"Straße {i} isn't w{i}ÄÖ" for i in range(3000)]
+    flat, n = cache.ids(texts)
+    assert [list(x) for x in np.split(flat, np.cumsum(n)[:-1])] == [library_ids(t) for t in texts]
+
+
 def test_caches_shrink_without_changing_results():
     cache = word_vocab.ChunkCache(word_vocab.split, word_vocab.resolver(WORD), limit=20)
     for k in range(12):

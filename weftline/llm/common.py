@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -163,11 +163,13 @@ class ChunkCache:
             self._shrink()
         if self.pieces:
             names, at, n = self.pieces(texts)
-            if unseen := [p for p in names if p not in self.code]:
-                self._add(unseen, self.resolve(unseen))
-            code = np.fromiter(map(self.code.__getitem__, names), np.int64, len(names))[at]
-            self.seen += np.bincount(code, minlength=len(self.seen))
-            return code, n
+            code = np.fromiter(map(self.code.get, names, repeat(-1)), np.int64, len(names))
+            missing = np.flatnonzero(code < 0)
+            if len(missing):
+                code[missing] = np.arange(len(self.code), len(self.code) + len(missing))
+                self._add(unseen := [names[i] for i in missing.tolist()], self.resolve(unseen))
+            self.seen[code] += np.bincount(at, minlength=len(names))
+            return code[at], n
         parts = [self.split(t) for t in texts]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
         every = list(chain.from_iterable(parts))
@@ -194,7 +196,11 @@ class ChunkCache:
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` from each start, one after the other."""
     end = np.cumsum(size)
-    return flat[np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+    n = int(end[-1]) if len(end) else 0
+    place = np.int32 if max(n, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((start - (end - size)).astype(place), size)
+    at += np.arange(n, dtype=place)
+    return flat[at]
 
 
 def group_sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -38,6 +38,8 @@ MAGIC, WIDTH, RANK = b"DAC1", 8, 512
 SEGMENT = 256 * 1024
 #: Bytes of input (as Spark estimates them, compressed for files) for each range.
 RANGE = 32 << 20
+#: Bytes of text encoded at once: the more, the fewer lookups of words that many texts share.
+SLICE = 8 << 20
 FILES = "range int, segment int, range_start long, n_ids long, image binary"
 
 
@@ -183,7 +185,7 @@ def tokenized(docs: DataFrame, ranges: Ranges, path: str, end_id: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 flat, n = encode_texts(part.column("text"), path, end_id)
                 wide = 2 if not len(flat) or flat.max() < 1 << 16 else 4
                 end = np.concatenate([[0], np.cumsum(n) * wide]).astype(np.int32)
